@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,10 @@ from pyspark.sql import functions as F
 #: A word, as every operator here counts it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch handed to Python; texts can be long, so batches are short.
-ARROW_ROWS = "256"
+ARROW_ROWS = 64
 
 _OWN_DIR: list[str] = []
+_SHIPPED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def tune(spark: SparkSession) -> None:
-    """Short Arrow batches, so that a batch of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    top = pathlib.Path(__file__).resolve().parents[1]
+    path = pathlib.Path(tempfile.mkdtemp(prefix="fathomgrid-code-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    _SHIPPED["app"] = sc.applicationId
+
+
+def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """For operators with Python on the executors: the code, and short Arrow batches, so that a batch
+    of very long texts fits a worker."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def parts_for(spark: SparkSession) -> int:

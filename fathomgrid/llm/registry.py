@@ -6,23 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import binary, mixing, packing, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_documents(_documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_documents(spark, sf_dir))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.token_files(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op10_reshard)}
+    return {f.__name__: f for f in (op1_simhash, op2_mix_sources, op8_pack, op9_token_files, op10_reshard)}
 
 
 def oracle_sql() -> dict[str, str]:
