@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, mixing, packing, sharding, simhash
+from . import binary, embeddings, langid, mixing, packing, sharding, simhash, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_documents(_documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine."""
     import public_tokenizers
@@ -41,8 +57,8 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mix_sources, op8_pack, op9_token_files, op10_reshard)}
+    return {f.__name__: f for f in (op1_simhash, op2_mix_sources, op3_toxicity, op4_near_embeddings, op5_exact_top_k, op7_language, op8_pack, op9_token_files, op10_reshard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.ORACLE}
+    return {"op2_mix_sources": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE}

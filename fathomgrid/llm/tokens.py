@@ -22,7 +22,8 @@ _BYTE_PIECES = re.compile(rf"{_ENDS} ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\
 _WORD_PIECES = re.compile(rf"{_ENDS}[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What the quick way leaves to the library.
-_RARE = re.compile("[^\t-\r -~\xa1-įı-ɏ‐-‧€]|<\\|")
+_RARE = re.compile("[^\t-\r -~\xa1-įı-ɏ‐-‧€]")
+_CONTROL = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f]")
 
 _KEPT: dict[int, Encoder] = {}
 
@@ -52,27 +53,46 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Asks the library for these pieces: plain words joined, as it parts them again by itself."""
+        words = [p for p in new if p.isalpha()]
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        rest = new.difference(words, spaced)
+        self.cache.update(zip(rest, self._ids(list(rest))))
+        for some, glue, step in ((spaced, "", 1), (words, " " if self.lower else "\n", 1 if self.lower else 2)):
+            for k in range(0, len(some), 8192):
+                each = some[k : k + 8192]
+                e = self.tok.encode(glue.join(each), add_special_tokens=False)
+                of = np.asarray(e.word_ids, np.int64)
+                raw = np.asarray(e.ids, "<u4")
+                at = 4 * np.searchsorted(of, step * np.arange(len(each)))
+                upto = 4 * np.searchsorted(of, step * np.arange(len(each)), "right")
+                raw = raw.tobytes()
+                self.cache.update((p, raw[a:b]) for p, a, b in zip(each, at.tolist(), upto.tolist()))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null texts count as empty."""
-        out: list = []
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        get, out, short, new = self.cache.get, [], [], set()
         for t in texts:
             t = t or ""
-            if self.pieces is None or _RARE.search(t):
+            if self.pieces is None or "<|" in t or (_CONTROL if t.isascii() else _RARE).search(t):
                 out.append(self._ids([t])[0])
+                continue
+            pieces = self.pieces.findall(t.lower() if self.lower else t)
+            ids = list(map(get, pieces))
+            if None in ids:
+                new.update(p for p, x in zip(pieces, ids) if x is None)
+                short.append((len(out), pieces))
+                out.append(b"")
             else:
-                out.append(self.pieces.findall(t.lower() if self.lower else t))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new: set[str] = set()
-        for p in out:
-            if isinstance(p, list):
-                new.update(p)
-        new = [p for p in new if p not in self.cache]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.cache.update(zip(some, self._ids(some)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) if isinstance(p, list) else p for p in out]
+                out.append(b"".join(ids))
+        if new:
+            self._learn(new)
+            for k, pieces in short:
+                out[k] = b"".join(map(self.cache.__getitem__, pieces))
+        return out
 
 
 def encoder(spec: str) -> Encoder:
