@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, embeddings, langid, mixing, packing, sharding, simhash, topk, toxicity
+from . import binary, embeddings, langid, linededup, mixing, packing, sharding, simhash, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_documents(_documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_documents(_documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mix_sources, op3_toxicity, op4_near_embeddings, op5_exact_top_k, op7_language, op8_pack, op9_token_files, op10_reshard)}
+    return {f.__name__: f for f in (op1_simhash, op2_mix_sources, op3_toxicity, op4_near_embeddings, op5_exact_top_k, op6_line_dedup, op7_language, op8_pack, op9_token_files, op10_reshard)}
 
 
 def oracle_sql() -> dict[str, str]:
