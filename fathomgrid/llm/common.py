@@ -57,6 +57,16 @@ def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under plain names of its own, and the new name of each column.
+
+    Operators that join columns of their own to whole rows work on these, so that an input column may
+    have any name; ``toDF(*docs.columns)`` puts the names back.
+    """
+    new = [f"_in_{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new))
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -126,7 +126,11 @@ def _linked(k: int, tables: int, cosine: float):
                 if w != c:
                     continue
                 def full(parts):
-                    ids, u = np.concatenate([i for i, _ in parts]), units(np.concatenate([x for _, x in parts]))
+                    ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+                    if len(np.unique(ids)) < len(ids):  # a repeated row is one
+                        some = list({(i, r.tobytes()): k for k, (i, r) in enumerate(zip(ids.tolist(), x))}.values())
+                        ids, x = ids[some], x[some]
+                    u = units(x)
                     return ids, u, (u @ directions(dim, COUNTED, 3)).astype(np.float32), cells(u, k, tables)[:, :t]
                 one = full(some)
                 if c == d:
@@ -167,8 +171,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, name: str = "embeddings
     """(vec_id, n_links, component_id, kept): a row for each row of ``table(vec_id, embedding)``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-    vectors of different lengths.  Rows that repeat a vec_id are one vector with several positions:
-    links between them do not count, and they share the result.  An empty table gives no rows.
+    vectors of different lengths.  Repeated rows are one vector and share its result; rows that have one
+    vec_id and different vectors share the result too, and their links add up.  An empty table gives no rows.
     """
     spark = table.sparkSession
     tune(spark, 4096)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, tune
+from .common import Workspace, aside, tune
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 SLOTS = 1 << 20
@@ -241,21 +241,29 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "li
 
     Null texts stay null, empty ones empty; an empty table gives no rows.
     """
-    _, gone = later_lines(docs, similarity, name)
-    gone = gone.select(F.col("doc_id").alias("_doc"), "drop")
-    d = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("drop", k))
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = d.withColumn("text", text).withColumn("removed", F.coalesce("drop", F.array().cast("array<int>")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns, "removed")
-
-
-def keep_documents(docs: DataFrame) -> DataFrame:
+    out, cols = _without(docs, similarity, name)
+    return out.select(*cols, "gone").toDF(*docs.columns, "removed")
+
+
+def _without(docs: DataFrame, similarity: float, name: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` under names of :func:`aside`, texts changed, with ``gone``; and those names."""
+    _, gone = later_lines(docs.select("doc_id", "text"), similarity, name)
+    d, of = aside(docs)
+    d = d.join(gone, F.col(of["doc_id"]).cast("long") == F.col("doc_id"), "left")
+    lines = F.split(of["text"], "\n")
+    kept = F.filter(lines, lambda _, k: ~F.array_contains("drop", k))
+    put = {of["text"]: F.when(F.col("drop").isNull(), F.col(of["text"])).otherwise(F.array_join(kept, "\n"))}
+    if "n_chars" in of:
+        length = F.length(put[of["text"]]).cast(docs.schema["n_chars"].dataType)
+        put[of["n_chars"]] = F.when(F.col("drop").isNull(), F.col(of["n_chars"])).otherwise(length)
+    return d.withColumns(put | {"gone": F.coalesce("drop", F.array().cast("array<int>"))}), list(of.values())
+
+
+def keep_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A pipeline stage: line-deduplicated ``docs``; documents that had lines and have none left go."""
-    d = dedup_lines(docs)
-    return d.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    out, cols = _without(docs, similarity, "lines")
+    text = F.col(cols[docs.columns.index("text")])
+    return out.where((F.size("gone") == 0) | text.rlike(r"[^\x20\x09-\x0D]")).select(cols).toDF(*docs.columns)
 
 
 def line_documents(docs: DataFrame) -> DataFrame:

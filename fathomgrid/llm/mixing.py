@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import WORD, Workspace, aside
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -103,18 +103,20 @@ def take(docs: DataFrame, **how) -> DataFrame:
     The document at a source's cut comes once more with its first words only (and ``n_chars``, where
     there is such a column, follows); everything else is a whole copy.
     """
-    m = mix(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id", "source", "size").agg(F.max("whole").alias("_whole"), F.max("part").alias("_part"))
-    m = m.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_whole", "_part").where("_whole > 0 or _part > 0")
-    d = docs.withColumn("_n", word_count(F.col("text")))
-    d = d.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    copies = F.concat(F.array_repeat(F.col("_size"), F.col("_whole").cast("int")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_take", F.explode(copies))
-    piece = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_take").cast("int")), "")
-    cut = F.col("_take") < F.col("_size")
-    put = {"text": F.when(cut, piece).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(cut, F.length(piece).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return d.withColumns(put).select(docs.columns)
+    m = mix(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id", "source", "size").agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
+    m = m.where("whole > 0 or part > 0")
+    d, name = aside(docs)
+    text = F.col(name["text"])
+    d = d.withColumn("n", word_count(text))
+    d = d.join(m, F.col(name["doc_id"]).eqNullSafe(F.col("doc_id")) & F.col(name["source"]).eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
+    copies = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("take", F.explode(copies))
+    piece = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("take").cast("int")), "")
+    cut = F.col("take") < F.col("size")
+    put = {name["text"]: F.when(cut, piece).otherwise(text)}
+    if "n_chars" in name:
+        put[name["n_chars"]] = F.when(cut, F.length(piece).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(name["n_chars"]))
+    return d.withColumns(put).select(*name.values()).toDF(*docs.columns)
 
 
 #: The same rows in DuckDB.

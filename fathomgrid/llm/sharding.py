@@ -152,7 +152,11 @@ def affected(placed: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the affected shards only, one folder each; the others keep their files."""
+    """Writes the affected shards only, one folder each; the others keep their files.
+
+    Columns of ``docs`` named ``shard`` or ``slot`` give way to the new ones.
+    """
+    docs = docs.drop("shard", "slot")
     places = placed.join(F.broadcast(affected(placed)), "shard", "left_semi").select("doc_id", "text_crc32", "shard", "slot")
     rows = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
     (

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grayindex
-from .common import Workspace, connected_components, tune
+from .common import Workspace, aside, connected_components, tune
 
 SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -208,8 +208,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat doc_id and text are one document; rows that share a doc_id stay or go together.
     """
-    cols = docs.columns
-    groups = near_groups(docs, **how)
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_first")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(cols)
+    first = near_groups(docs.select("doc_id", "text"), **how).where("doc_id <=> component_id").select("doc_id").distinct()
+    d, name = aside(docs)
+    kept = d.join(first, F.col(name["doc_id"]).eqNullSafe(F.col("doc_id")), "left_semi")
+    return kept.dropDuplicates([name["doc_id"], name["text"]]).toDF(*docs.columns)

@@ -239,12 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame):
 
 
 def score(docs: DataFrame, fitted, keep: bool = False) -> DataFrame:
-    """``docs`` with ``score``; with ``keep``, only the columns and rows of documents below 0.5.
+    """``docs`` with ``score`` (in the place of a column of that name); with ``keep``, only the columns
+    and rows of documents below 0.5.
 
     Null, empty and blank texts have the score of a text without toxic words; repeated rows score alike.
     """
     model, weights, line = fitted
     tune(docs.sparkSession)
+    if not keep:
+        docs = docs.drop("score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
