@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch handed to Python; texts can be long, so batches are short.
 ARROW_ROWS = 64
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN_DIR: list[str] = []
 _SHIPPED: dict[str, str] = {}
 
@@ -87,7 +90,12 @@ class Workspace:
         return f"{self.root}/{key}"
 
     def save(self, df: DataFrame, key: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(key))
+        conf, kept = self.spark.conf, self.spark.conf.get(CLEAN)
+        conf.set(CLEAN, "true")  # the table stands for the plan: its shuffles aren't needed again
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(key))
+        finally:
+            conf.set(CLEAN, kept)
         return self.read(key, df)
 
     def read(self, key: str, like: DataFrame) -> DataFrame:

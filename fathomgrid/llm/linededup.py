@@ -1,21 +1,23 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-cased words.  Lines are ordered by (doc_id, line number); a line goes if
-an earlier line has a Jaccard similarity of ``similarity`` or more with it.  Copies of a set collapse
-to its first line before anything is joined, so a line that repeats everywhere is one row.
+an earlier line has a Jaccard similarity of ``similarity`` or more with it.  Equal lines collapse to
+the first of them before anything is joined (Spark combines them before its shuffle), so a line that
+repeats everywhere is one row.
 
 Words are ordered by rarity: by a table of hashed word counts over all lines (``SLOTS`` numbers, the
 same size for any corpus), ties by hash.  Any one order gives exact results; rarity keeps the lists
 short.  Two sets that similar share a word among the first few of either (prefix filter), at
 positions that leave room for the overlap (positional filter), and are close in size (length filter).
 In a word's list a set only looks for *an* earlier partner, the oldest first and at most ``TRIES``
-at a time after a bitmap bound; pairs are verified on whole word sets, and sets whose partners
-failed look further in another round.  So families of near-equal lines cost no quadratic pair list.
+at a time after a bitmap bound; pairs are verified on whole lines, and sets whose partners failed
+look further in another round.  So families of near-equal lines cost no quadratic pair list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,163 +29,164 @@ from .common import Workspace, aside, tune
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 SLOTS = 1 << 20
-#: Partners that a set proposes in a word's list in the first round; four times as many in each later one.
-TRIES = 2
-_SET = "h binary, doc_id long, line int, size int, bits binary, prefix binary"
+#: Partners that a set proposes in a word's list in the first round; eight times as many in each later one.
+TRIES = 1
+#: Rows of a batch of lines; entries after which a task compares the lists that it has whole.
+BATCH, ROWS = 4096, 200_000
+_ENTRY = "word long, shape long, bits long, id long, doc_id long, line int"
 
 
-def split_lines(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+class Hashes(dict):
+    """64-bit hashes of words, kept by the worker."""
 
+    def __missing__(self, word: str) -> int:
+        x = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return x
 
-class Words:
-    """64-bit hashes of words, kept by the worker."""
+    def of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of some lines, and how many words each line has."""
+        if len(self) > 300_000:
+            self.clear()
+        words, n = [], []
+        for x in lines:
+            w = x.lower().split()
+            words += w
+            n.append(len(w))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), np.array(n, np.int64)
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
 
-    def set_of(self, line: str) -> np.ndarray:
-        words = set(line.lower().split())
-        if len(self.known) > 300_000:
-            self.known.clear()
-        get, out = self.known.get, []
-        for w in words:
-            x = get(w)
-            if x is None:
-                x = self.known[w] = xxhash.xxh64_intdigest(w, 7)
-            out.append(x)
-        return np.array(out, np.uint64)
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def prefix_length(size: int, similarity: float) -> int:
-    return size - int(np.ceil(similarity * size - 1e-9)) + 1
+def prefix_length(size, similarity: float):
+    return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
-def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def jaccard_reaches(a: set, b: set, similarity: float) -> bool:
+    both = len(a & b)
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, w = np.zeros(SLOTS, np.int64), Words()
+    total, known = np.zeros(SLOTS, np.int64), Hashes()
     for b in batches:
-        for text in b.column(0).to_pylist():
-            for line in split_lines(text):
-                h = w.set_of(line)
-                if len(h) >= LEAST_WORDS:
-                    np.add.at(total, (h % np.uint64(SLOTS)).astype(np.int64), 1)
+        h, _ = known.of(b.column(0).to_pylist())
+        total += np.bincount(slot(h), minlength=SLOTS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
 
 
-def _sets(rarity: np.ndarray, similarity: float):
-    """Every line's set: hash, place, size, parity bitmap, and the rarest words that must be looked up."""
+def sorted_sets(h: np.ndarray, n: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct words of each line, lines in order, a line's rarest word first."""
+    row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    order = np.lexsort((h, row << np.uint64(32) | rarity[slot(h)]))
+    row, h = row[order].astype(np.int64), h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[new], h[new]
+
+
+def _listed(rarity, similarity: float):
+    """A row for each word of each line's prefix: the word, size and position, a parity bitmap of the
+    whole set, and the line's id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Words()
+        known, rare = Hashes(), rarity.value
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, line in enumerate(split_lines(text)):
-                    h = w.set_of(line)
-                    if len(h) < LEAST_WORDS or doc is None:
-                        continue
-                    h = h[np.lexsort((h, rarity[(h % np.uint64(SLOTS)).astype(np.int64)]))]
-                    bits = (np.bincount((h & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
-                    name = xxhash.xxh128_digest(np.sort(h).tobytes())
-                    rows.append((name, doc, k, len(h), np.packbits(bits).tobytes(), h[: prefix_length(len(h), similarity)].tobytes()))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "doc_id", "line", "size", "bits", "prefix"])
+            row, h = sorted_sets(*known.of(b.column(3).to_pylist()), rare)
+            size = np.bincount(row, minlength=len(b))
+            start = np.cumsum(size) - size
+            bits = np.zeros(len(b), np.uint64)
+            some = np.flatnonzero(size)
+            if len(some):
+                bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(40) & np.uint64(63)), start[some])
+            pos = np.arange(len(row)) - start[row]
+            keep = (size[row] >= LEAST_WORDS) & (pos < prefix_length(size, similarity)[row])
+            row, pos, h = row[keep], pos[keep], h[keep]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(size[row] << 32 | pos), pa.array(bits[row].view(np.int64)), *(b.column(k).take(take) for k in range(3))],
+                ["word", "shape", "bits", "id", "doc_id", "line"],
+            )
 
     return run
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of a set's prefix."""
-    for b in batches:
-        n = np.array([len(x) // 8 for x in b.column(3).to_pylist()], np.int64)
-        word = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)
-        at = np.repeat(np.arange(len(n)), n)
-        pos = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        doc, line = b.column(5).flatten()
-        rest = [c.take(pa.array(at)) for c in (b.column(0), b.column(1), b.column(2), b.column(4), doc, line)]
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(pos), *rest], ["word", "pos", "id", "size", "bits", "asks", "doc_id", "line"])
+def candidates(word, shape, bits, asks, similarity: float, skip: int, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, more) over whole lists, each in the order of places: entry i asks for an earlier j that
+    passes the filters, from its candidate number ``skip`` on; more: the list may hold others for i."""
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    start = np.repeat(first, np.diff(np.append(first, len(word))))
+    index, size, pos = np.arange(len(word)) - start, shape >> 32, shape & 0xFFFFFFFF
+    found, out = np.zeros(len(word), np.int32), []
+    active = np.flatnonzero(asks & (index > 0))
+    for r in count():
+        active = active[index[active] > r]
+        if not len(active):
+            break
+        j = start[active] + r
+        a, b = size[active], size[j]
+        overlap = np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+        ok = np.minimum(a - pos[active], b - pos[j]) >= overlap
+        ok &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+        ok &= np.bitwise_count(bits[active] ^ bits[j]) <= a + b - 2 * overlap
+        i, j = active[ok], j[ok]
+        found[i] += 1
+        now = (found[i] > skip) & (found[i] <= skip + tries)
+        out.append((i[now], j[now]))
+        active = active[found[active] <= skip + tries]
+    i, j = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
+    return i, j, found[i] > skip + tries
 
 
 def _proposed(similarity: float, skip: int, tries: int):
-    """(a, b, more): set a may equal the earlier set b; more: there may be further partners in this list."""
-
-    def one(pos, ids, size, bits, asks) -> Iterator[tuple]:
-        for i in np.flatnonzero(asks):
-            found = []
-            for lo in range(0, i, 512):
-                s = slice(lo, min(i, lo + 512))
-                small, large = np.minimum(size[s], size[i]), np.maximum(size[s], size[i])
-                overlap = np.ceil(similarity / (1 + similarity) * (size[s] + size[i]) - 1e-9)
-                room = np.minimum(size[s] - pos[s], size[i] - pos[i])
-                apart = np.bitwise_count(bits[s] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                ok = (small >= similarity * large - 1e-9) & (room >= overlap) & (apart <= size[s] + size[i] - 2 * overlap)
-                found += (lo + np.flatnonzero(ok)).tolist()
-                if len(found) > skip + tries:
-                    break
-            for j in found[skip : skip + tries]:
-                yield ids[i], ids[j], len(found) > skip + tries
+    """(a, b, more): line a may equal the earlier line b; more: there may be further partners in this list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def done(cols) -> pa.RecordBatch | None:
-            word = cols[0]
-            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
-            out: list = []
-            for lo, hi in zip(edge, edge[1:]):
-                if hi - lo > 1:
-                    out += one(*(c[lo:hi] for c in cols[1:]))
-            if not out:
-                return None
-            a, b, more = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([bool(m) for m in more])], ["a", "b", "more"])
+        def done(cols) -> pa.RecordBatch:
+            i, j, more = candidates(cols[0], cols[1], cols[2].view(np.uint64), cols[4], similarity, skip, tries)
+            return pa.RecordBatch.from_arrays([pa.array(cols[3][i]), pa.array(cols[3][j]), pa.array(more)], ["a", "b", "more"])
 
         n = 0
         for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, 2), b.column(5).to_numpy(zero_copy_only=False)))
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
             n += len(b)
-            if n >= 200_000:
+            if n >= ROWS:
                 cols = [np.concatenate(c) for c in zip(*held)]
-                upto = int(np.searchsorted(cols[0], cols[0][-1]))  # the last word may go on
-                if upto and (r := done([c[:upto] for c in cols])):
-                    yield r
-                held = [tuple(c[upto:] for c in cols)]
+                upto = len(cols[0]) - int(np.argmax(cols[0][::-1] != cols[0][-1])) if cols[0][0] != cols[0][-1] else 0  # the last word may go on
+                if upto:
+                    yield done([c[:upto] for c in cols])
+                held = [[c[upto:] for c in cols]]
                 n = (len(cols[0]) - upto) // 2
-        if held and (r := done([np.concatenate(c) for c in zip(*held)])):
-            yield r
+        if n or held and len(held[0][0]):
+            yield done([np.concatenate(c) for c in zip(*held)])
 
     return run
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked-for lines' whole word sets."""
-    w = Words()
-    for b in batches:
-        ids, sets = [], []
-        for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines = split_lines(text)
-            for x in want:
-                ids.append(x["id"])
-                sets.append(np.sort(w.set_of(lines[x["line"]])).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "words"])
-
-
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [jaccard_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_())], ["a", "ok"])
+            ok = [jaccard_reaches(set(x.lower().split()), set(y.lower().split()), similarity) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield b.select([0]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def exploded(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, text) of the lines that can have ``LEAST_WORDS`` words."""
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.where(F.length("text") >= 2 * LEAST_WORDS - 1)
+
+
+def _name() -> list[F.Column]:
+    """128 bits that stand for a line's text."""
+    return [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g")]
+
+
 def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "lines") -> tuple[Workspace, DataFrame]:
     """(doc_id, drop: sorted line numbers from 0) of the lines to remove; also the workspace.
 
@@ -191,48 +194,41 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "li
     lines of rows whose doc_id is null.  Rows that repeat a doc_id count as one document there.
     """
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, BATCH)
     ws = Workspace(spark, name)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    # equal lines collapse to the first; a place as one number is combined in place before the shuffle
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
+    first = exploded(docs).groupBy("text").agg(F.min(place).alias("place"))
+    line = F.pmod(F.col("place"), F.lit(1 << 31)).cast("int")
+    first = first.select("text", line.alias("line"), F.floor((F.col("place") - line) / F.lit(1 << 31)).cast("long").alias("doc_id"), *_name())
+    lines = ws.save(first.withColumn("id", F.monotonically_increasing_id()), "first")
     rarity = np.zeros(SLOTS, np.int64)
-    for r in texts.select("text").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
+    for r in lines.select("text").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
         rarity[r.slot] = r.n
-    shared = spark.sparkContext.broadcast(rarity.astype(np.uint32))
-    kept = lambda bs: _sets(shared.value, similarity)(bs)
-    lines = texts.mapInArrow(kept, _SET)
-    # copies of a set collapse to its first line; the rest of its lines go
-    place = F.struct("doc_id", "line")
-    ws.save(lines.select("h", "doc_id", "line"), "places")
-    first = lines.groupBy("h").agg(F.min(place).alias("at"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = ws.save(first.select("h", "at", "size", "bits", "prefix", F.xxhash64("h").alias("id")), "sets")
-    tune(spark, 4096)
+    shared = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint64))
+    listed = lines.select("id", "doc_id", "line", "text").mapInArrow(_listed(shared, similarity), _ENTRY)
     open_, found, step, skip, tries = None, None, 0, 0, TRIES
     while True:
-        asks = sets.select("id", "size", "bits", "prefix", "at") if open_ is None else sets.join(open_.select("id").withColumn("_ask", F.lit(True)), "id", "left").select("id", "size", "bits", "prefix", "at", "_ask")
-        asks = asks.withColumn("asks", F.lit(True) if open_ is None else F.coalesce("_ask", F.lit(False)))
-        listed = asks.select("id", "size", "bits", "prefix", "asks", "at").mapInArrow(_listed, "word long, pos int, id long, size int, bits binary, asks boolean, doc_id long, line int")
-        listed = listed.repartition("word").sortWithinPartitions("word", "doc_id", "line").select("word", "pos", "id", "size", "bits", "asks")
-        pairs = ws.save(listed.mapInArrow(_proposed(similarity, skip, tries), "a long, b long, more boolean"), f"pairs-{step}")
-        unique = pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
-        need = unique.select(F.col("a").alias("id")).unionByName(unique.select(F.col("b").alias("id"))).distinct()
-        want = need.join(sets.select("id", "at"), "id").groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "id")).alias("want"))
-        tune(spark)
-        whole = texts.join(want, F.col("doc_id") == F.col("_doc"))
-        words = ws.save(whole.select("text", "want").mapInArrow(_whole, "id long, words binary").dropDuplicates(["id"]), f"words-{step}")
-        x, y = words.select(F.col("id").alias("a"), F.col("words").alias("x")), words.select(F.col("id").alias("b"), F.col("words").alias("y"))
-        hit = unique.join(x, "a").join(y, "b").select("a", "x", "y").mapInArrow(_verified(similarity), "a long, ok boolean").where("ok").select("a").distinct()
-        hit = ws.save(hit, f"hit-{step}")
+        rows = listed.withColumn("asks", F.lit(True)) if open_ is None else listed.join(open_.withColumn("_ask", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("_ask", F.lit(False)))
+        rows = rows.repartition("word").sortWithinPartitions("word", "doc_id", "line", "id").select("word", "shape", "bits", "id", "asks")
+        pairs = ws.save(rows.mapInArrow(_proposed(similarity, skip, tries), "a long, b long, more boolean"), f"pairs-{step}")
+        whole = lines.select("id", "text")
+        x, y = whole.select(F.col("id").alias("a"), F.col("text").alias("x")), whole.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        near = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "x", "y")
+        hit = ws.save(near.mapInArrow(_verified(similarity), "a long").distinct(), f"hit-{step}")
         found = hit if found is None else found.unionByName(hit)
-        tune(spark, 4096)
         left = pairs.where("more").select(F.col("a").alias("id")).distinct().join(found.withColumnRenamed("a", "id"), "id", "left_anti")
         open_ = ws.save(left, f"open-{step}")
-        step, skip, tries = step + 1, skip + tries, 4 * tries
+        step, skip, tries = step + 1, skip + tries, 8 * tries
         if open_.isEmpty():
             break
-    state = sets.join(found.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").select("h", "at", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = spark.read.parquet(ws.path("places")).join(state, "h").where((F.struct("doc_id", "line") > F.col("at")) | F.col("late"))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop"))
-    return ws, ws.save(gone, "gone")
+    state = lines.select("id", "h", "g", F.struct("doc_id", "line").alias("at")).join(found.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").drop("id")
+    places = exploded(docs).select(*_name(), "doc_id", "line")
+    gone = places.join(state, ["h", "g"]).where((F.struct("doc_id", "line") > F.col("at")) | F.coalesce("late", F.lit(False)))
+    gone = ws.save(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop")), "gone")
+    ws.drop("first")
+    shared.unpersist()
+    return ws, gone
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "lines") -> DataFrame:
