@@ -21,7 +21,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +31,59 @@ SLOTS = 1 << 20
 #: Partners that a set proposes in a word's list in the first round; eight times as many in each later one.
 TRIES = 1
 #: Rows of a batch of lines; entries after which a task compares the lists that it has whole.
-BATCH, ROWS = 4096, 200_000
-_ENTRY = "word long, shape long, bits long, id long, doc_id long, line int"
-
-
-class Hashes(dict):
-    """64-bit hashes of words, kept by the worker."""
-
-    def __missing__(self, word: str) -> int:
-        x = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return x
-
-    def of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words of some lines, and how many words each line has."""
-        if len(self) > 300_000:
-            self.clear()
-        words, n = [], []
-        for x in lines:
-            w = x.lower().split()
-            words += w
-            n.append(len(w))
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), np.array(n, np.int64)
+BATCH, ROWS = 4096, 500_000
+_ENTRY = "word long, shape long, bits long, more_bits long, id long, doc_id long, line int"
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of text hashed at a time: bounds memory for lines of any length.
+CHUNK = 1 << 22
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), _BASE, np.uint64))])
+
+
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every word, all bytes at once: a polynomial over each word's bytes, mixed."""
+    a = np.frombuffer("\n".join(lines).lower().encode("utf-8", "replace"), np.uint8)
+    space = _SPACE[a]
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(a) else np.zeros(0, np.int64)
+    if not len(start):
+        return start, start.astype(np.uint64)
+    tail, length = a[start[0] :], np.diff(np.append(start, len(a)))
+    pos = np.arange(len(tail)) - np.repeat(start - start[0], length)
+    value = (tail.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[pos]
+    value[space[start[0] :]] = 0
+    h = np.add.reduceat(value, start - start[0])
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(np.flatnonzero(a == 10), start), h ^ (h >> np.uint64(31))
+
+
+def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every word of these lines, in order."""
+    out, some, at, size = [], [], 0, 0
+    for k, x in enumerate([*lines, None]):
+        if some and (x is None or size + len(x) > CHUNK):
+            row, h = _hashed(some)
+            out.append((row + at, h))
+            some, at, size = [], k, 0
+        if x is not None and len(x) > CHUNK:  # one line in parts
+            for j in range(0, len(w := x.encode("utf-8", "replace").split()), 1 << 18):
+                _, h = _hashed([b" ".join(w[j : j + (1 << 18)]).decode()])
+                out.append((np.full(len(h), k), h))
+            at = k + 1
+        elif x is not None:
+            some.append(x)
+            size += len(x)
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def word_set(line: str) -> set[bytes]:
+    return set(line.lower().encode("utf-8", "replace").split())
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -69,22 +100,26 @@ def jaccard_reaches(a: set, b: set, similarity: float) -> bool:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, known = np.zeros(SLOTS, np.int64), Hashes()
+    total = np.zeros(SLOTS, np.int64)
     for b in batches:
-        h, _ = known.of(b.column(0).to_pylist())
-        total += np.bincount(slot(h), minlength=SLOTS)
+        total += np.bincount(slot(hashed_words(b.column(0).to_pylist())[1]), minlength=SLOTS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
 
 
-def sorted_sets(h: np.ndarray, n: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the distinct words of each line, lines in order, a line's rarest word first."""
-    row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    order = np.lexsort((h, row << np.uint64(32) | rarity[slot(h)]))
-    row, h = row[order].astype(np.int64), h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[new], h[new]
+def rank(counts: np.ndarray) -> np.ndarray:
+    """Rarity in 256 steps, rarest first, as the leading bits of a word's 52-bit key."""
+    return np.minimum(255, np.log2(np.maximum(counts, 1)) * 6).astype(np.uint64) << np.uint64(44)
+
+
+def sorted_sets(row: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the distinct words of at most ``BATCH`` lines, in order, a line's rarest word first."""
+    key = row.astype(np.uint64) << np.uint64(52) | rarity[slot(h)] | h >> np.uint64(20)
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1)
 
 
 def _listed(rarity, similarity: float):
@@ -92,23 +127,27 @@ def _listed(rarity, similarity: float):
     whole set, and the line's id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rare = Hashes(), rarity.value
-        for b in batches:
-            row, h = sorted_sets(*known.of(b.column(3).to_pylist()), rare)
-            size = np.bincount(row, minlength=len(b))
-            start = np.cumsum(size) - size
-            bits = np.zeros(len(b), np.uint64)
-            some = np.flatnonzero(size)
-            if len(some):
-                bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(40) & np.uint64(63)), start[some])
-            pos = np.arange(len(row)) - start[row]
-            keep = (size[row] >= LEAST_WORDS) & (pos < prefix_length(size, similarity)[row])
-            row, pos, h = row[keep], pos[keep], h[keep]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(size[row] << 32 | pos), pa.array(bits[row].view(np.int64)), *(b.column(k).take(take) for k in range(3))],
-                ["word", "shape", "bits", "id", "doc_id", "line"],
-            )
+        rare = rarity.value
+        for whole in batches:
+            for lo in range(0, len(whole), BATCH):
+                b = whole.slice(lo, BATCH)
+                row, h = sorted_sets(*hashed_words(b.column(3).to_pylist()), rare)
+                size = np.bincount(row, minlength=len(b))
+                start = np.cumsum(size) - size
+                bits = np.zeros((2, len(b)), np.uint64)
+                some = np.flatnonzero(size)
+                if len(some):
+                    one, half = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) == 0
+                    bits[0, some] = np.bitwise_xor.reduceat(np.where(half, one, 0), start[some])
+                    bits[1, some] = np.bitwise_xor.reduceat(np.where(half, 0, one), start[some])
+                pos = np.arange(len(row)) - start[row]
+                keep = (size[row] >= LEAST_WORDS) & (pos < prefix_length(size, similarity)[row])
+                row, pos, h = row[keep], pos[keep], h[keep]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(size[row] << 32 | pos), *(pa.array(x[row].view(np.int64)) for x in bits), *(b.column(k).take(take) for k in range(3))],
+                    ["word", "shape", "bits", "more_bits", "id", "doc_id", "line"],
+                )
 
     return run
 
@@ -128,31 +167,43 @@ def candidates(word, shape, bits, asks, similarity: float, skip: int, tries: int
         j = start[active] + r
         a, b = size[active], size[j]
         overlap = np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
-        ok = np.minimum(a - pos[active], b - pos[j]) >= overlap
-        ok &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-        ok &= np.bitwise_count(bits[active] ^ bits[j]) <= a + b - 2 * overlap
+        ok = np.flatnonzero((np.minimum(a - pos[active], b - pos[j]) >= overlap) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9))
         i, j = active[ok], j[ok]
+        near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits) <= (a + b - 2 * overlap)[ok]
+        i, j = i[near], j[near]
         found[i] += 1
         now = (found[i] > skip) & (found[i] <= skip + tries)
         out.append((i[now], j[now]))
-        active = active[found[active] <= skip + tries]
+        if len(i):
+            active = active[found[active] <= skip + tries]
     i, j = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
     return i, j, found[i] > skip + tries
 
 
 def _proposed(similarity: float, skip: int, tries: int):
-    """(a, b, more): line a may equal the earlier line b; more: there may be further partners in this list."""
+    """Pairs: line ``id`` may equal the earlier line ``b``.  Lists that may hold further partners for some
+    of their lines (``asks``) follow whole, ``b`` being null and their order in ``doc_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def done(cols) -> pa.RecordBatch:
-            i, j, more = candidates(cols[0], cols[1], cols[2].view(np.uint64), cols[4], similarity, skip, tries)
-            return pa.RecordBatch.from_arrays([pa.array(cols[3][i]), pa.array(cols[3][j]), pa.array(more)], ["a", "b", "more"])
+            word, shape, *bits, ids, asks = cols
+            i, j, more = candidates(word, shape, [x.view(np.uint64) for x in bits], asks, similarity, skip, tries)
+            ask = np.zeros(len(word), bool)
+            ask[i[more]] = True
+            left = np.flatnonzero(np.isin(word, word[ask])) if ask.any() else np.zeros(0, np.int64)
+            at = np.concatenate([i, left])
+            b = np.concatenate([ids[j], np.zeros(len(left), np.int64)])
+            order = np.concatenate([np.zeros(len(i), np.int64), left])
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c[at]) for c in (word, shape, *bits, ids)), pa.array(order), pa.array(b, mask=np.arange(len(at)) >= len(i)), pa.array(np.concatenate([more, ask[left]]))],
+                ["word", "shape", "bits", "more_bits", "id", "doc_id", "b", "asks"],
+            )
 
         n = 0
         for b in batches:
-            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
             n += len(b)
             if n >= ROWS:
                 cols = [np.concatenate(c) for c in zip(*held)]
@@ -161,7 +212,7 @@ def _proposed(similarity: float, skip: int, tries: int):
                     yield done([c[:upto] for c in cols])
                 held = [[c[upto:] for c in cols]]
                 n = (len(cols[0]) - upto) // 2
-        if n or held and len(held[0][0]):
+        if held and any(len(c[0]) for c in held):
             yield done([np.concatenate(c) for c in zip(*held)])
 
     return run
@@ -170,7 +221,7 @@ def _proposed(similarity: float, skip: int, tries: int):
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [jaccard_reaches(set(x.lower().split()), set(y.lower().split()), similarity) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            ok = [jaccard_reaches(word_set(x), word_set(y), similarity) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield b.select([0]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -202,32 +253,31 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "li
     line = F.pmod(F.col("place"), F.lit(1 << 31)).cast("int")
     first = first.select("text", line.alias("line"), F.floor((F.col("place") - line) / F.lit(1 << 31)).cast("long").alias("doc_id"), *_name())
     lines = ws.save(first.withColumn("id", F.monotonically_increasing_id()), "first")
-    rarity = np.zeros(SLOTS, np.int64)
-    for r in lines.select("text").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
-        rarity[r.slot] = r.n
-    shared = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint64))
-    listed = lines.select("id", "doc_id", "line", "text").mapInArrow(_listed(shared, similarity), _ENTRY)
-    open_, found, step, skip, tries = None, None, 0, 0, TRIES
+    n = lines.select("text").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    counts = np.zeros(SLOTS, np.int64)
+    counts[n["slot"].to_numpy()] = n["n"].to_numpy()
+    rarity = spark.sparkContext.broadcast(rank(counts))
+    rows = lines.select("id", "doc_id", "line", "text").mapInArrow(_listed(rarity, similarity), _ENTRY).withColumn("asks", F.lit(True))
+    found, step, skip, tries = None, 0, 0, TRIES
     while True:
-        rows = listed.withColumn("asks", F.lit(True)) if open_ is None else listed.join(open_.withColumn("_ask", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("_ask", F.lit(False)))
-        rows = rows.repartition("word").sortWithinPartitions("word", "doc_id", "line", "id").select("word", "shape", "bits", "id", "asks")
-        pairs = ws.save(rows.mapInArrow(_proposed(similarity, skip, tries), "a long, b long, more boolean"), f"pairs-{step}")
+        rows = rows.repartition("word").sortWithinPartitions("word", "doc_id", "line", "id").select("word", "shape", "bits", "more_bits", "id", "asks")
+        out = ws.save(rows.mapInArrow(_proposed(similarity, skip, tries), _ENTRY.replace("line int", "b long, asks boolean")), f"pairs-{step}")
+        pairs = out.where("b is not null").select(F.col("id").alias("a"), "b").distinct()
         whole = lines.select("id", "text")
         x, y = whole.select(F.col("id").alias("a"), F.col("text").alias("x")), whole.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        near = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "x", "y")
+        near = pairs.join(x, "a").join(y, "b").select("a", "x", "y")
         hit = ws.save(near.mapInArrow(_verified(similarity), "a long").distinct(), f"hit-{step}")
         found = hit if found is None else found.unionByName(hit)
-        left = pairs.where("more").select(F.col("a").alias("id")).distinct().join(found.withColumnRenamed("a", "id"), "id", "left_anti")
-        open_ = ws.save(left, f"open-{step}")
+        left = out.where("b is null").drop("b").join(hit.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left")
+        rows = left.select(*[c for c in out.columns if c not in ("b", "asks")], F.lit(0).alias("line"), (F.col("asks") & F.col("ok").isNull()).alias("asks"))
         step, skip, tries = step + 1, skip + tries, 8 * tries
-        if open_.isEmpty():
+        if rows.where("asks").isEmpty():
             break
     state = lines.select("id", "h", "g", F.struct("doc_id", "line").alias("at")).join(found.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").drop("id")
-    places = exploded(docs).select(*_name(), "doc_id", "line")
-    gone = places.join(state, ["h", "g"]).where((F.struct("doc_id", "line") > F.col("at")) | F.coalesce("late", F.lit(False)))
+    gone = exploded(docs).select(*_name(), "doc_id", "line").join(state, ["h", "g"]).where((F.struct("doc_id", "line") > F.col("at")) | F.coalesce("late", F.lit(False)))
     gone = ws.save(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop")), "gone")
     ws.drop("first")
-    shared.unpersist()
+    rarity.unpersist()
     return ws, gone
 
 
