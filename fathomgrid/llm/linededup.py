@@ -28,10 +28,12 @@ from .common import Workspace, aside, tune
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 SLOTS = 1 << 20
-#: Partners that a set proposes in a word's list in the first round; eight times as many in each later one.
+#: Partners that a set proposes in a word's list in the first round; 64 times as many in each later one.
 TRIES = 1
 #: Rows of a batch of lines; entries after which a task compares the lists that it has whole.
 BATCH, ROWS = 4096, 500_000
+#: Ids of lines to verify up to which they are broadcast (some MB).
+BROADCAST_IDS = 250_000
 _ENTRY = "word long, shape long, bits long, more_bits long, id long, doc_id long, line int"
 
 
@@ -238,6 +240,11 @@ def _name() -> list[F.Column]:
     return [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g")]
 
 
+def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines with these ids; the ids are broadcast where they are few enough, else both are shuffled."""
+    return lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "lines") -> tuple[Workspace, DataFrame]:
     """(doc_id, drop: sorted line numbers from 0) of the lines to remove; also the workspace.
 
@@ -263,14 +270,15 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "li
         rows = rows.repartition("word").sortWithinPartitions("word", "doc_id", "line", "id").select("word", "shape", "bits", "more_bits", "id", "asks")
         out = ws.save(rows.mapInArrow(_proposed(similarity, skip, tries), _ENTRY.replace("line int", "b long, asks boolean")), f"pairs-{step}")
         pairs = out.where("b is not null").select(F.col("id").alias("a"), "b").distinct()
-        whole = lines.select("id", "text")
+        pairs = ws.save(pairs, f"unique-{step}")
+        whole = _only(lines.select("id", "text"), pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         x, y = whole.select(F.col("id").alias("a"), F.col("text").alias("x")), whole.select(F.col("id").alias("b"), F.col("text").alias("y"))
         near = pairs.join(x, "a").join(y, "b").select("a", "x", "y")
         hit = ws.save(near.mapInArrow(_verified(similarity), "a long").distinct(), f"hit-{step}")
         found = hit if found is None else found.unionByName(hit)
         left = out.where("b is null").drop("b").join(hit.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left")
         rows = left.select(*[c for c in out.columns if c not in ("b", "asks")], F.lit(0).alias("line"), (F.col("asks") & F.col("ok").isNull()).alias("asks"))
-        step, skip, tries = step + 1, skip + tries, 8 * tries
+        step, skip, tries = step + 1, skip + tries, 64 * tries
         if rows.where("asks").isEmpty():
             break
     state = lines.select("id", "h", "g", F.struct("doc_id", "line").alias("at")).join(found.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").drop("id")
