@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps (about 200 bytes each).
-CACHE = 300_000
+CACHE = 600_000
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _ENDS = "'s|'t|'re|'ve|'m|'ll|'d|"
 _BYTE_PIECES = re.compile(rf"{_ENDS} ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
