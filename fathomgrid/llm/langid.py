@@ -105,18 +105,28 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     gain = np.vstack([np.zeros(s.shape[1]), np.cumsum(s - s[:, [one]], axis=0)])
     if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(len(s), one)
-    n, back = s.shape[1], np.empty(s.shape, np.int8 if s.shape[1] < 128 else np.int32)
-    v, stay = s[0].copy(), np.arange(n)
-    for t in range(1, len(s)):
-        top = int(v.argmax())
-        jump = v[top] - penalty > v
-        back[t] = np.where(jump, top, stay)
-        v = np.where(jump, v[top] - penalty, v) + s[t]
-    out = np.empty(len(s), np.int64)
-    out[-1] = v.argmax()
-    for t in range(len(s) - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    # a few labels: plain lists beat arrays; a label's jumps are kept by time, with where they came from
+    rows = s.tolist()
+    v, times, came = rows[0], [[] for _ in rows[0]], [[] for _ in rows[0]]
+    for t in range(1, len(rows)):
+        best = max(v)
+        floor = best - penalty
+        if min(v) < floor:
+            top = v.index(best)
+            for i, x in enumerate(v):
+                if x < floor:
+                    v[i] = floor
+                    times[i].append(t)
+                    came[i].append(top)
+        v = [x + y for x, y in zip(v, rows[t])]
+    out, end, i = np.empty(len(s), np.int64), len(s), v.index(max(v))
+    while True:
+        k = bisect.bisect_left(times[i], end) - 1
+        t = times[i][k] if k >= 0 else 0
+        out[t:end] = i
+        if k < 0:
+            return out
+        end, i = t, came[i][k]
 
 
 def fit(docs: DataFrame) -> Model:
