@@ -48,7 +48,9 @@ class Model:
         n, all_grams = len(self.langs), set().union(*counts.values()) if counts else set()
         total = np.array([sum(counts[x].values()) for x in self.langs], float)
         self.unseen = np.log(0.1 / (total + 0.1 * len(all_grams) + 1))
-        self.gram = {g: np.log((np.array([counts[x].get(g, 0) for x in self.langs]) + 0.1) / (total + 0.1 * len(all_grams) + 1)).astype(np.float32) for g in all_grams}
+        self.gram = {g: k for k, g in enumerate(sorted(all_grams), 1)}  # 0: unseen
+        seen = np.array([[counts[x].get(g, 0) for x in self.langs] for g in self.gram]).reshape(-1, n)
+        self.table = np.vstack([self.unseen, np.log((seen + 0.1) / (total + 0.1 * len(all_grams) + 1))])
         self.scripts: dict[str, np.ndarray] = {}
         for j, x in enumerate(self.langs):
             of: dict[str, int] = {}
@@ -62,11 +64,19 @@ class Model:
         self.size = np.zeros(1024, np.int64)
         self.known: dict[str, int] = {}
 
-    def word(self, w: str) -> np.ndarray:
-        """Scores of a word; a language that its script rules out is far behind."""
-        s = sum((self.gram.get(g, self.unseen) for g in grams(w)), np.zeros(len(self.langs))) / GRAMS
-        may = self.scripts.get(script(w[0]))
-        return s if may is None else np.where(may, s, s - 100.0)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words of letters; a language that its script rules out is far behind."""
+        get, at, n = self.gram.get, [], []
+        for w in words:
+            g = grams(w)
+            at += [get(x, 0) for x in g]
+            n.append(len(g))
+        s = np.add.reduceat(self.table[at], np.cumsum(n) - n, axis=0) / GRAMS
+        for k, w in enumerate(words):
+            may = self.scripts.get(script(w[0]))
+            if may is not None and not may.all():
+                s[k, ~may] -= 100.0
+        return s
 
     def index(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
@@ -74,21 +84,22 @@ class Model:
         get = self.known.get
         out = list(map(get, words))
         if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    out[k] = self._add(words[k])
+            self._add(list(dict.fromkeys(w for w, x in zip(words, out) if x is None)))
+            out = list(map(get, words))
         return np.array(out, np.int64)
 
-    def _add(self, raw: str) -> int:
-        if raw in self.known:
-            return self.known[raw]
+    def _add(self, new: list[str]) -> None:
         k = len(self.known)
-        if k >= len(self.rows):
+        while k + len(new) > len(self.rows):
             self.rows, self.size = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        w = letters(raw)
-        self.rows[k], self.size[k] = self.word(w) if w else 0.0, len(w)
-        self.known[raw] = k
-        return k
+        plain = [letters(w) for w in new]
+        self.rows[k : k + len(new)] = 0.0
+        self.size[k : k + len(new)] = [len(w) for w in plain]
+        some = [j for j, w in enumerate(plain) if w]
+        for lo in range(0, len(some), 4096):
+            each = some[lo : lo + 4096]
+            self.rows[[k + j for j in each]] = self.score([plain[j] for j in each])
+        self.known.update(zip(new, range(k, k + len(new))))
 
     def label(self, text: str | None):
         """(words with letters, their label's number, their letters) of a text."""
