@@ -21,7 +21,7 @@ from .common import tune
 #: Labelled rows that are learned from (those with the smallest hashes of doc_id); n-grams; penalty in nats.
 LABELLED, GRAMS, PENALTY = 6_000, 4, 12.0
 #: Words that a worker keeps.
-CACHE = 300_000
+CACHE = 600_000
 #: First code points of script ranges.
 _FROM = [0x41, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0x980, 0xE00, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3400, 0xAC00, 0xD7B0]
 _SCRIPT = ["latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "indic", "thai", "georgian", "hangul", "latin", "greek", "other", "kana", "han", "hangul", "other"]
