@@ -49,7 +49,7 @@ class Model:
         total = np.array([sum(counts[x].values()) for x in self.langs], float)
         self.unseen = np.log(0.1 / (total + 0.1 * len(all_grams) + 1))
         self.gram = {g: k for k, g in enumerate(sorted(all_grams), 1)}  # 0: unseen
-        seen = np.array([[counts[x].get(g, 0) for x in self.langs] for g in self.gram]).reshape(-1, n)
+        seen = np.array([[counts[x].get(g, 0) for x in self.langs] for g in self.gram], float).reshape(len(self.gram), n)
         self.table = np.vstack([self.unseen, np.log((seen + 0.1) / (total + 0.1 * len(all_grams) + 1))])
         self.scripts: dict[str, np.ndarray] = {}
         for j, x in enumerate(self.langs):
