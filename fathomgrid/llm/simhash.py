@@ -9,11 +9,14 @@ members.  Components of the links then come from :func:`fathomgrid.llm.common.co
 
 With ``words > 1`` a fingerprint has that many 64-bit words, cut into 32-bit tables; codes that meet
 in any table are checked against the whole fingerprint (``most`` differing bits).
+
+:func:`similar_groups` takes such pairs as candidates only: a pair links if the Jaccard similarity of
+its shingle sets, counted exactly, is high enough.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 CHUNK = 1 << 15
 #: Rows after which a task indexes the block values that it has whole.
 ROWS = 200_000
+#: Tables whose places are dealt out together, and pairs whose whole fingerprints are compared together.
+TABLES, PAIRS = 4, 1 << 16
 
 
 def shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -66,8 +71,17 @@ def _spread(h: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int, words: int = 1) -> np.ndarray:
     """``words`` unsigned 64-bit words; a bit is set if it is in over half of the shingles' hashes."""
+    return _sketch(shingles(text, size), words)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The hashes of the text's shingles, each once, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, size)]))
+
+
+def _sketch(chunks: Iterable[np.ndarray], words: int) -> np.ndarray:
     ones, n = np.zeros(64 * words, np.int64), 0
-    for h in shingles(text, size):
+    for h in chunks:
         n += len(h)
         for w in range(words):
             bits = np.unpackbits(_spread(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -197,6 +211,177 @@ def _hex(col: str) -> F.Column:
     return F.lower(F.concat(*[F.hex(F.substring(col, k, 1)) for k in range(8, 0, -1)]))
 
 
+def _set_rows(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """(doc_id, th, node, fp): hash of the text, hash of its shingle set, fingerprint of that set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp = [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_set(t, size)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                fp.append(_sketch((h[k : k + CHUNK] for k in range(0, len(h), CHUNK)), words).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp, pa.binary())], ["doc_id", "th", "node", "fp"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node long, fp binary")
+
+
+def _set_places(tables: range, radius: int):
+    """Each (node, group, fp) once per block of these tables, with the place's number as key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(b), -1)
+            for t in tables:
+                for k, (low, bits) in enumerate(_cuts(32, radius + 1)):
+                    value = (raw[:, t].astype(np.int64) >> low) & ((1 << bits) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array((value << 8) | (t * (radius + 1) + k)), *b.columns], ["key", "node", "grp", "fp"])
+
+    return run
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of the pairs that make a spanning forest; earlier pairs go first."""
+    parent, at, out = np.arange(n), np.arange(len(a)), []
+    while len(at):
+        ra, rb = parent[a[at]], parent[b[at]]
+        differ = ra != rb
+        at, ra, rb = at[differ], ra[differ], rb[differ]
+        if not len(at):
+            break
+        # the first pair of every tree; the order is total, so these never close a ring
+        _, first = np.unique(np.column_stack([ra, rb]).ravel(), return_index=True)
+        first = np.unique(first // 2)
+        out.append(at[first])
+        parent = grayindex.join_sets(parent, ra[first], rb[first])
+    return np.concatenate(out) if out else at
+
+
+def _candidates(words: int, radius: int, most: int, every: bool):
+    """Pairs (a, b) of nodes of other groups that share a key and are near: all of them with ``every``,
+    else the nearest that hold them together."""
+
+    def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, count = np.unique(keys, return_counts=True)
+        keep = np.repeat(count > 1, count)  # keys come sorted
+        keys, ids, fps = keys[keep], ids[keep], fps[keep]
+        place, cuts = keys & 255, _cuts(32, radius + 1)
+        for p in np.unique(place):
+            low, bits = cuts[p % (radius + 1)]
+            at = np.flatnonzero(place == p)
+            x, turn = fps[at].view(np.uint32)[:, p // (radius + 1)].astype(np.uint64), low + bits
+            code = ((x << np.uint64(32 - turn)) | (x >> np.uint64(turn))) & np.uint64(0xFFFFFFFF) if turn < 32 else x
+            order = np.argsort(grayindex.gray_rank(code), kind="stable")
+            at, code = at[order], code[order]
+            mine, node, group = fps[at], ids[at, 0], ids[at, 1]
+            best = np.zeros((3, 0), np.int64)
+            for i, j in grayindex.GrayIndex(code).pairs(radius, np.uint64(0xFFFFFFFF ^ ((1 << (32 - bits)) - 1))):
+                other = group[i] != group[j]
+                i, j = i[other], j[other]
+                for k in range(0, len(i), PAIRS):
+                    u, v = i[k : k + PAIRS], j[k : k + PAIRS]
+                    far = np.bitwise_count(mine[u] ^ mine[v]).sum(axis=1, dtype=np.int64)
+                    near = far <= most
+                    found = np.stack([far[near], u[near], v[near]])
+                    if every:
+                        yield _pair_batch(node[found[1]], node[found[2]])
+                    elif found.size:
+                        best = np.concatenate([best, found], axis=1)
+                        best = best[:, np.argsort(best[0], kind="stable")]
+                        best = best[:, np.sort(_forest(len(at), best[1], best[2]))]
+            yield _pair_batch(node[best[1]], node[best[2]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, fps = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, words), np.uint64)
+        more, n = [], 0
+        for b in batches:
+            more.append((b.column(0).to_numpy(), np.column_stack([b.column(1).to_numpy(), b.column(2).to_numpy()]), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(b), words)))
+            n += len(b)
+            if n >= ROWS:
+                keys, ids, fps = (np.concatenate([x, *y]) for x, y in zip((keys, ids, fps), zip(*more)))
+                more, upto = [], int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+                yield from links(keys[:upto], ids[:upto], fps[:upto])
+                keys, ids, fps = keys[upto:], ids[upto:], fps[upto:]
+                n = len(keys) // 2 if len(keys) >= ROWS else len(keys)
+        if more:
+            keys, ids, fps = (np.concatenate([x, *y]) for x, y in zip((keys, ids, fps), zip(*more)))
+        yield from links(keys, ids, fps)
+
+    return run
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _verified(ws: Workspace, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, least: float, name: str) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = distinct.join(ends, "node").select("th", "node")
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted.select("th"), "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "h"])
+
+    tune(docs.sparkSession)
+    held = ws.save(wanted.join(texts, "th").select("node", "text").mapInArrow(sets, "node long, h binary"), f"{name}-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    two = pairs.join(held.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+    out = ws.save(two.mapInArrow(run, "a long, b long"), name)
+    ws.drop(f"{name}-sets")
+    return out
+
+
+def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int = 3, most: int = 156, least: float = 0.8, name: str = "similar") -> DataFrame:
+    """(doc_id, fp, component_id): every row of ``docs`` with the smallest doc_id it is linked to.
+
+    Two texts link if their sets of shingles of ``size`` words have a Jaccard similarity of ``least``
+    or more, counted exactly.  Pairs to count are those that differ in at most ``radius`` bits of one
+    of the ``2 * words`` tables of 32 bits and in at most ``most`` bits in all: with the defaults a
+    pair at 0.8 differs in 116 bits on average (deviation 10) and meets with probability 0.999.
+
+    First the nearest pairs that hold candidates together are counted, then every candidate pair
+    whose ends are still in two groups: a large group of near copies is one group by then, and only
+    pairs that have to be told apart are left.
+    Rows are treated as in :func:`near_groups`.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    ws = Workspace(spark, name)
+    rows = ws.save(_set_rows(docs, size, words), "rows")
+    distinct = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.min("fp").alias("fp")), "distinct")
+    group, links = distinct.select("node", F.col("node").alias("grp"), "fp"), None
+    for step, every in (("near", False), ("all", True)):
+        found = None
+        for k in range(0, 2 * words, TABLES):  # some tables at a time: their shuffle files go in between
+            tune(spark, 8192)
+            placed = group.mapInArrow(_set_places(range(k, min(k + TABLES, 2 * words)), radius), "key long, node long, grp long, fp binary").repartition("key").sortWithinPartitions("key")
+            some = ws.save(placed.mapInArrow(_candidates(words, radius, most, every), "a long, b long").distinct(), f"{step}-{k}")
+            found = some if found is None else found.unionByName(some)
+        found = found.distinct()
+        if links is not None:
+            found = found.join(tried, ["a", "b"], "left_anti")
+        tried = ws.save(found, f"{step}-pairs")
+        good = _verified(ws, docs, distinct, tried, size, least, step)
+        links = good if links is None else links.unionByName(good)
+        cc = ws.save(connected_components(ws, links, f"{step}-steps"), f"{step}-cc")
+        group = ws.save(distinct.join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "fp"), f"{step}-groups")
+    named = distinct.select("node", "low").join(group.select("node", "grp"), "node")
+    least_id = named.groupBy("grp").agg(F.min("low").alias("component_id"))
+    named = ws.save(named.join(least_id, "grp").select("node", "component_id"), "named")
+    return rows.join(named, "node").select("doc_id", "fp", "component_id")
+
+
 def simhash_documents(docs: DataFrame) -> DataFrame:
     """The contract's digest: 3-word shingles, 64 bits, at most 2 differing."""
     g = near_groups(docs, size=3, words=1, radius=2, most=None)
@@ -208,7 +393,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat doc_id and text are one document; rows that share a doc_id stay or go together.
     """
-    first = near_groups(docs.select("doc_id", "text"), **how).where("doc_id <=> component_id").select("doc_id").distinct()
+    first = similar_groups(docs.select("doc_id", "text"), **how).where("doc_id <=> component_id").select("doc_id").distinct()
     d, name = aside(docs)
     kept = d.join(first, F.col(name["doc_id"]).eqNullSafe(F.col("doc_id")), "left_semi")
     return kept.dropDuplicates([name["doc_id"], name["text"]]).toDF(*docs.columns)
