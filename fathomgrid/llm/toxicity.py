@@ -11,6 +11,7 @@ bounded by its alphabet (64 cubed).  The classifier is fitted on at most ``LABEL
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -33,7 +34,10 @@ CACHE = 300_000
 _OUTER = ".,;:!?\"'()[]{}<>*#%&|~`^=/\\-_“”‘’«»…"
 _LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c"}
 _APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
-_RUN = re.compile(r"(.)\1\1")
+_REPEATED = re.compile(r"(.)\1")
+#: Look-alikes that are no digits: at a word's edge they are letters or punctuation.  Marks are punctuation only.
+_SIGNS = "".join(c for c in _LOOKS if not c.isalnum())
+_MARKS = "".join(c for c in _OUTER if c not in _LOOKS)
 
 
 class _Alphabet(dict):
@@ -98,41 +102,65 @@ def _letters(words: dict[str, int]) -> np.ndarray:
     return count_trigrams(plain)
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """Likeliest letters behind ``word``: Viterbi over its lattice, states being the last two letters."""
-    best = {(0, 0): (0.0, "")}
+def decode(word: str, table: list[float], edges: bool = False) -> str:
+    """Likeliest letters behind ``word``: Viterbi over its lattice, states being the last two letters.
+
+    ``table``: the character model, flat.  Look-alike signs at the word's edges may also say nothing;
+    with ``edges`` they say letters, as many as there are signs.
+    """
+    first, last = len(word) - len(word.lstrip(_SIGNS)), len(word.rstrip(_SIGNS))
+    best: dict = {0: (0.0, None)}
     k = 0
     while k < len(word):
         c, n = word[k], 1
         while k + n < len(word) and word[k + n] == c:
             n += 1
-        if c.isalpha():
-            arcs = [(c * m, 0.0 if m == n else 1.5) for m in ({1, 2} if n > 2 else {n, 1})]
-        elif c in _LOOKS:
-            arcs = [(x * m, 0.5) for x in _LOOKS[c] for m in ({1, n} if n <= 2 else {1, 2})]
-        else:
-            arcs = [("", 0.5)]
+        arcs = _arcs(c, min(n, 3), (k < first or k >= last) and (2 if edges else 1))
         after: dict = {}
-        for (a, b), (cost, said) in best.items():
-            for letters, price in arcs:
-                p, q, total = a, b, cost + price
-                for x in codes(letters):
-                    total -= float(model[p, q, x])
-                    p, q = q, x
-                if (p, q) not in after or total < after[p, q][0]:
-                    after[p, q] = total, said + letters
+        for state, (cost, said) in best.items():
+            for letters, price, symbols in arcs:
+                at, total = state, cost + price
+                for x in symbols:
+                    total -= table[at * 64 + x]
+                    at = at % 64 * 64 + x
+                if at not in after or total < after[at][0]:
+                    after[at] = total, ((said, letters) if letters else said)
         best, k = after, k + n
-    return min((cost - float(model[a, b, 0]), said) for (a, b), (cost, said) in best.items())[1]
+    said = min(((cost - table[at * 64], k, said) for k, (at, (cost, said)) in enumerate(best.items())), key=lambda x: x[:2])[2]
+    out = []
+    while said:
+        said, letters = said
+        out.append(letters)
+    return "".join(reversed(out))
 
 
-def readings(word: str, model: np.ndarray) -> list[str]:
-    """What a lower-cased word of the text may say: its letters, and its decoding if it looks disguised."""
+@functools.cache
+def _arcs(c: str, n: int, edge: int) -> list[tuple[str, float, list[int]]]:
+    """(letters, price, their symbols) of ``c`` written ``n`` times, 3 standing for more.
+
+    ``edge``: 1 for a sign that may also say nothing, 2 for one that is a letter each time.
+    """
+    if c.isalpha():
+        arcs = [(c * m, 0.0 if m == n else 1.5) for m in ({1, 2} if n > 2 else {n, 1})]
+    elif c in _LOOKS:
+        arcs = [(x * m, 0.5) for x in _LOOKS[c] for m in ({n} if n <= 2 and edge == 2 else {1, n} if n <= 2 else {1, 2})]
+        arcs += [("", 0.5)] if edge == 1 else []
+    else:
+        arcs = [("", 0.5)]
+    return [(letters, price, codes(letters)) for letters, price in arcs]
+
+
+def readings(word: str, table: list[float]) -> list[str]:
+    """What a lower-cased word of the text may say: its letters, and its decodings if it looks disguised."""
     inner = word.strip(_OUTER)
     plain = inner if inner.isalpha() else "".join(filter(str.isalpha, inner))
     out = [plain] if plain else []
-    if plain and (len(plain) != len(inner) or _RUN.search(inner)) and len(inner) <= 64:
-        out.append(decode(inner.rstrip("$"), model))
-    return out
+    whole = word.strip(_MARKS)
+    if whole and (len(plain) != len(whole) or _REPEATED.search(whole)):
+        out.append(decode(whole, table))
+        if whole[0] in _SIGNS or whole[-1] in _SIGNS:
+            out.append(decode(whole, table, True))
+    return list(dict.fromkeys(filter(None, out)))
 
 
 def features(word: str) -> list[str]:
@@ -150,10 +178,10 @@ def words_of(text: str | None) -> set[str]:
 
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
-        self.model, self.weights, self.cache = model, weights, {}
+        self.table, self.weights, self.cache = model.ravel().tolist(), weights, {}
 
     def word(self, w: str) -> float:
-        return max((self.weights.get(f, 0.0) for r in readings(w, self.model) for f in features(r)), default=0.0)
+        return max((self.weights.get(f, 0.0) for r in readings(w, self.table) for f in features(r)), default=0.0)
 
     def text(self, text: str | None) -> tuple[float, float]:
         """Weight of the worst word, and the weights of the others together (at most 20)."""
@@ -197,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, int], int] = {}
+        table = model.ravel().tolist()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in n], pa.string()), pa.array([y for _, y in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["f", "y", "n"])
@@ -207,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame):
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = {""}
                 for w in words_of(text):
-                    for r in readings(w, model):
+                    for r in readings(w, table):
                         seen.update(features(r))
                 for f in seen:
                     n[f, y] = n.get((f, y), 0) + 1
