@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,15 @@ from .common import tune
 LABELLED = 30_000
 #: Documents a feature must be toxic in, its least log-likelihood ratio, and its least evidence in nats.
 SEEN, RATIO, EVIDENCE = 3, 2.0, 8.0
+#: Letters and signs of a token that may be part of a word set apart by spaces: two parts of a word of
+#: five letters are always this short.
+SHORT = 4
 #: Words that a worker keeps.
 CACHE = 300_000
 
 _OUTER = ".,;:!?\"'()[]{}<>*#%&|~`^=/\\-_“”‘’«»…"
 _LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c"}
-_APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
+_JOINED = "\x01"
 _REPEATED = re.compile(r"(.)\1")
 #: Look-alikes that are no digits: at a word's edge they are letters or punctuation.  Marks are punctuation only.
 _SIGNS = "".join(c for c in _LOOKS if not c.isalnum())
@@ -105,18 +108,29 @@ def _letters(words: dict[str, int]) -> np.ndarray:
 def decode(word: str, table: list[float], edges: bool = False) -> str:
     """Likeliest letters behind ``word``: Viterbi over its lattice, states being the last two letters.
 
-    ``table``: the character model, flat.  Look-alike signs at the word's edges may also say nothing;
+    Single spaces part the tokens of a run: each is an arc that joins, or one that ends a word; joined
+    tokens come out with ``_JOINED`` between them.  ``table``: the character model, flat.  Look-alike signs at the word's edges may also say nothing;
     with ``edges`` they say letters, as many as there are signs.
     """
-    first, last = len(word) - len(word.lstrip(_SIGNS)), len(word.rstrip(_SIGNS))
+    edge = set()
+    for m in re.finditer(r"\S+", word):
+        t = m[0]
+        edge.update(range(m.start(), m.end() - len(t.lstrip(_SIGNS))), range(m.start() + len(t.rstrip(_SIGNS)), m.end()))
     best: dict = {0: (0.0, None)}
     k = 0
     while k < len(word):
         c, n = word[k], 1
         while k + n < len(word) and word[k + n] == c:
             n += 1
-        arcs = _arcs(c, min(n, 3), (k < first or k >= last) and (2 if edges else 1))
         after: dict = {}
+        if c == " ":  # the word goes on, or ends and another begins
+            for state, (cost, said) in best.items():
+                for at, letters, total in ((state, _JOINED, cost + 0.5), (0, " ", cost - table[state * 64])):
+                    if at not in after or total < after[at][0]:
+                        after[at] = total, (said, letters)
+            best, k = after, k + n
+            continue
+        arcs = _arcs(c, min(n, 3), (k in edge) and (2 if edges else 1))
         for state, (cost, said) in best.items():
             for letters, price, symbols in arcs:
                 at, total = state, cost + price
@@ -150,13 +164,73 @@ def _arcs(c: str, n: int, edge: int) -> list[tuple[str, float, list[int]]]:
     return [(letters, price, codes(letters)) for letters, price in arcs]
 
 
-def readings(word: str, table: list[float]) -> list[str]:
-    """What a lower-cased word of the text may say: its letters, and its decodings if it looks disguised."""
+class _Folded(dict):
+    """Code points to the letter that stands for all their readings; what says nothing goes."""
+
+    def __missing__(self, c: int):
+        ch = chr(c)
+        v = ch if ch.isalpha() or ch == " " else _LOOKS[ch][0] if ch in _LOOKS else None
+        self[c] = None if v is None else {"l": "i", "g": "b"}.get(v, v)
+        return self[c]
+
+
+_FOLDED = _Folded()
+
+
+def may_say(features: Iterable[str]):
+    """A test of words and runs: false only if no decoding of the word has one of these features.
+
+    Decoding changes how often a letter is repeated and which look-alike it is, so a feature can only
+    come out where its letters, folded, stand in this order from the start of a token.
+    """
+    trie: dict = {}
+    for f in features:
+        at = trie
+        for c in re.sub(r"(.)\1+", r"\1", f[1:].translate(_FOLDED)):
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        if "" in at or not at:
+            return ""  # shorter features settle it
+        return "(?:" + "|".join(f"{re.escape(c)}[{re.escape(c)} ]*{pattern(x)}" for c, x in at.items()) + ")"
+
+    if not trie:
+        return lambda word: False
+    if "" in trie:
+        return lambda word: True
+    found = re.compile("(?:^| )" + pattern(trie)).search
+
+    def test(word: str) -> bool:
+        if found(word.translate(_FOLDED)):
+            return True
+        if " " in word:
+            return any(c in word for c in _SIGNS)  # signs may say nothing in the midst
+        rest = word.lstrip(_SIGNS)
+        signs = word[: len(word) - len(rest)]
+        return len(set(signs)) > 1 or bool(signs and found(rest.translate(_FOLDED)))
+
+    return test
+
+
+def readings(word: str, table: list[float], may=None) -> list[str]:
+    """What a lower-cased word of the text may say: its letters, and its decodings if it looks disguised.
+
+    ``may``: a test of :func:`may_say`; decodings that it rules out are left out.
+    """
+    if " " in word:
+        if may and not may(word):
+            return []
+        said = [decode(word, table)]
+        if any(c in _SIGNS for c in word):
+            said.append(decode(word, table, True))
+        joined = {w.replace(_JOINED, ""): None for run in said for w in run.split(" ") if _JOINED in w.strip(_JOINED)}
+        return list(dict.fromkeys(r for w in joined for r in readings(w, table, may)))
     inner = word.strip(_OUTER)
     plain = inner if inner.isalpha() else "".join(filter(str.isalpha, inner))
     out = [plain] if plain else []
     whole = word.strip(_MARKS)
-    if whole and (len(plain) != len(whole) or _REPEATED.search(whole)):
+    if whole and (len(plain) != len(whole) or _REPEATED.search(whole)) and (not may or may(whole)):
         out.append(decode(whole, table))
         if whole[0] in _SIGNS or whole[-1] in _SIGNS:
             out.append(decode(whole, table, True))
@@ -168,20 +242,32 @@ def features(word: str) -> list[str]:
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct lower-cased words, those that are spelled out letter by letter put together."""
-    low = (text or "").lower()
-    words = set(low.split())
-    for m in _APART.finditer(low):
-        words.add(re.sub(r"[ .\-_*]", "", m[0]))
+    """Distinct lower-cased words, and the runs of two or more short ones, with single spaces."""
+    tokens = (text or "").lower().split()
+    words, run = set(tokens), []
+    for t in tokens:
+        if len(t) > SHORT:
+            t = t.strip(_MARKS)
+        if len(t) <= SHORT:
+            t = t.strip(_MARKS)
+            if t:
+                run.append(t)
+            continue
+        if len(run) > 1:
+            words.add(" ".join(run))
+        run = []
+    if len(run) > 1:
+        words.add(" ".join(run))
     return words
 
 
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.table, self.weights, self.cache = model.ravel().tolist(), weights, {}
+        self.may = may_say(weights)
 
     def word(self, w: str) -> float:
-        return max((self.weights.get(f, 0.0) for r in readings(w, self.table) for f in features(r)), default=0.0)
+        return max((self.weights.get(f, 0.0) for r in readings(w, self.table, self.may) for f in features(r)), default=0.0)
 
     def text(self, text: str | None) -> tuple[float, float]:
         """Weight of the worst word, and the weights of the others together (at most 20)."""
@@ -225,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, int], int] = {}
-        table = model.ravel().tolist()
+        table, read = model.ravel().tolist(), {}
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in n], pa.string()), pa.array([y for _, y in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["f", "y", "n"])
@@ -235,8 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame):
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = {""}
+                if len(read) > CACHE:
+                    read.clear()
                 for w in words_of(text):
-                    for r in readings(w, table):
+                    if w not in read:
+                        read[w] = readings(w, table)
+                    for r in read[w]:
                         seen.update(features(r))
                 for f in seen:
                     n[f, y] = n.get((f, y), 0) + 1

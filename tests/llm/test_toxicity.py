@@ -1,5 +1,7 @@
 """Disguised words against a character model of a few plain words."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -30,3 +32,30 @@ def test_punctuation_stays_punctuation(table, word):
 
 def test_long_word(table):
     assert len(toxicity.readings("ab!" * 100_000, table)[-1]) >= 200_000
+
+
+@pytest.mark.parametrize(
+    "text, says",
+    [("you are a m o r o n", "moron"), ("the a s s", "ass"), ("a cl own", "clown"), ("mo ron", "moron"), ("i d  i  o t", "idiot"), ("i d ! o t", "idiot"), ("$ c u m", "scum"), ("m - o - r - o - n", "moron"), ("hello m o o o r o n stone", "moron"), ("m.o.r.o.n", "moron")],
+)
+def test_word_set_apart(table, text, says):
+    assert says in [r for w in toxicity.words_of(text) for r in toxicity.readings(w, table)]
+
+
+def test_plain_short_words_stay_apart(table):
+    assert toxicity.decode("you are a the it is on", table) == "you are a the it is on"
+
+
+def test_ruled_out_decodings_say_nothing(table):
+    r, weights = random.Random(7), {f: 1.0 for w in ("moron", "idiot", "clown", "scum", "ass") for f in toxicity.features(w)}
+    may, hits = toxicity.may_say(weights), 0
+    for _ in range(30_000):
+        word = list(r.choice(["moron", "idiot", "clown", "scum", "ass", "stone", "hello", "as"]))
+        for _ in range(r.randrange(5)):
+            word.insert(r.randrange(len(word) + 1), r.choice("  !!$$((||.-10o3@6ssiim"))
+        word = " ".join("".join(word).replace("o", r.choice("o0")).split())
+        every = {f for x in toxicity.readings(word, table) for f in toxicity.features(x) if f in weights}
+        some = {f for x in toxicity.readings(word, table, may) for f in toxicity.features(x) if f in weights}
+        assert every == some, word
+        hits += bool(every)
+    assert hits > 1000
