@@ -27,35 +27,43 @@ _FILES = "file_no int, segment int, start long, n_ids long, data binary"
 def _encoded(spec: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = tokens.encoder(spec), TaskContext.get().partitionId()
-        end, seg, at, docs, ids, n = np.asarray([end_id], "<u4").tobytes(), 0, 0, [], [], 0
+        seg, at, held, n = 0, 0, [], 0
 
         def flush():
-            whole = np.frombuffer(b"".join(ids), "<u4")
-            data = rans.write_segment(docs, np.array([len(x) // 4 for x in ids]), whole)
+            docs, ids, counts = [d for x in held for d in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            data = rans.write_segment(docs, counts, ids)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seg, pa.int32()), (at, pa.int64()), (n, pa.int64()), (data, pa.binary()))], ["file_no", "segment", "start", "n_ids", "data"])
 
         for b in batches:
-            for doc, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                docs.append(doc)
-                ids.append(x + end)
-                n += len(x) // 4 + 1
+            docs = b.column(0).to_pylist()
+            ids, counts = tokens.with_end(*enc.encode(b.column(1).to_pylist()), end_id)
+            upto, lo = np.cumsum(counts), 0
+            while lo < len(docs):
+                first = int(upto[lo - 1]) if lo else 0
+                hi = min(len(docs), int(np.searchsorted(upto, first + SEGMENT - n)) + 1)  # the document that fills the segment
+                held.append((docs[lo:hi], ids[first : upto[hi - 1]], counts[lo:hi]))
+                n += int(upto[hi - 1]) - first
+                lo = hi
                 if n >= SEGMENT:
                     yield flush()
-                    seg, at, docs, ids, n = seg + 1, at + n, [], [], 0
-        if docs:
+                    seg, at, held, n = seg + 1, at + n, [], 0
+        if held:
             yield flush()
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
-    """Writes ``docs`` in ascending doc_id order (null first, equal ones by text) below ``path``.
+    """Writes ``docs`` in ascending doc_id order (null first, equal ones in any order) below ``path``.
 
-    Null and empty texts are the end id alone; an empty table writes no segment.
+    Null and empty texts are the end id alone; an empty table writes no segment.  Rows of one doc_id,
+    null included, may lie in many partitions, whatever their number.
     """
     tune(docs.sparkSession)
     spec = tokens.load(tokenizer)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ["doc_id", "_spread", "_row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_spread", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     rows.mapInArrow(_encoded(spec, end_id), _FILES).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
@@ -68,18 +76,18 @@ def _decoded(base: dict[int, int]):
                 ids, n = rans.read_blocks(data, index).astype("<u4"), index["lengths"].astype(np.int64)
                 if n.sum() != len(ids):
                     raise rans.Damaged("documents and ids differ in length")
-                raw, upto = ids.tobytes(), np.cumsum(n)
-                where = base[part.as_py()] + start.as_py() + upto - n
-                for k in range(0, len(n), 256):
-                    some = slice(k, k + 256)
-                    each = [raw[4 * (e - m) : 4 * e] for e, m in zip(upto[some].tolist(), n[some].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(index["doc_ids"][some], mask=index["known"][some] == 0), pa.array(where[some]), pa.array(n[some]), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                where = base[part.as_py()] + start.as_py() + np.cumsum(n) - n
+                yield pa.RecordBatch.from_arrays([pa.array(index["doc_ids"], mask=index["known"] == 0), pa.array(where), pa.array(n), tokens.as_binary(ids, n, 4)], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of what :func:`write_tokens` wrote; raises where a checksum fails."""
+    """(doc_id, start, n_tokens, ids) of what :func:`write_tokens` wrote; raises where a checksum fails.
+
+    An empty folder of segments gives no rows.  One number for each written partition goes to the driver
+    and to every task: some 10 MB at a million partitions.
+    """
     ship(spark)
     files = spark.read.schema(_FILES).parquet(path)
     totals = sorted((r.file_no, r.n) for r in files.groupBy("file_no").agg(F.sum("n_ids").alias("n")).collect())  # one row for each partition
@@ -88,14 +96,24 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_files(spark: SparkSession, path: str, folder: str) -> list[str]:
-    """Plain files, one for each segment, written by the driver one at a time."""
+    """Plain files in a folder that the executors share, one for each segment; the names, in order.
+
+    Every task writes the segments it holds; a task that runs again writes the same bytes again.
+    No segments, no files.
+    """
     os.makedirs(folder, exist_ok=True)
-    out = []
-    for r in spark.read.schema(_FILES).parquet(path).orderBy("file_no", "segment").toLocalIterator():
-        out.append(f"{folder}/{r.file_no:06d}-{r.segment:06d}.fgr")
-        with open(out[-1], "wb") as f:
-            f.write(bytes(r.data))
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [f"{folder}/{f:06d}-{s:06d}.fgr" for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            for name, data in zip(names, b.column(4)):
+                with open(f"{name}.part", "wb") as f:
+                    f.write(data.as_buffer())
+                os.replace(f"{name}.part", name)
+            yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+
+    ship(spark)
+    return sorted(r.name for r in spark.read.schema(_FILES).parquet(path).mapInArrow(run, "name string").collect())
 
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:

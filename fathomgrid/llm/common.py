@@ -8,15 +8,14 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as every operator here counts it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a batch handed to Python; texts can be long, so batches are short.
-ARROW_ROWS = 64
+#: Rows and bytes of a batch handed to Python.
+ARROW_ROWS, ARROW_BYTES = 8192, 2 << 20
 
 #: Spark's setting by which a query's shuffle files go when the query ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,11 +27,14 @@ _SHIPPED: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, as in tests on one machine, a temporary folder is made and set.
+    Where it is unset, as in tests on one machine, a temporary folder is made and set; a cluster has to
+    name one.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="fathomgrid-"))
         spark.sparkContext.setCheckpointDir(_OWN_DIR[0])
@@ -53,11 +55,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED["app"] = sc.applicationId
 
 
-def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """For operators with Python on the executors: the code, and short Arrow batches, so that a batch
-    of very long texts fits a worker."""
+def tune(spark: SparkSession) -> None:
+    """For operators with Python on the executors: the code, and Arrow batches bounded by their bytes, so
+    that a batch of long texts fits a worker (one row may be larger).  The settings are the same for all
+    operators, as results are lazy and may run when another operator has been called.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -70,10 +75,6 @@ def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*new), dict(zip(docs.columns, new))
 
 
-def parts_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 class Workspace:
     """Tables written once to the shared folder and read back: lineage ends there.
 
@@ -137,11 +138,3 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
     return cur.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def small_map(key: F.Column, pairs: dict, default=None) -> F.Column:
-    """``pairs[key]`` as an expression, for maps whose size is bounded by construction."""
-    if not pairs:
-        return F.lit(default)
-    lookup = F.create_map(*reduce(lambda a, kv: [*a, F.lit(kv[0]), F.lit(kv[1])], pairs.items(), []))
-    return F.coalesce(lookup[key], F.lit(default)) if default is not None else lookup[key]

@@ -175,7 +175,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, name: str = "embeddings
     vec_id and different vectors share the result too, and their links add up.  An empty table gives no rows.
     """
     spark = table.sparkSession
-    tune(spark, 4096)
+    tune(spark)
     ws = Workspace(spark, name)
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     k, tables = layout(rows.count(), cosine)

@@ -252,7 +252,7 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "li
     lines of rows whose doc_id is null.  Rows that repeat a doc_id count as one document there.
     """
     spark = docs.sparkSession
-    tune(spark, BATCH)
+    tune(spark)
     ws = Workspace(spark, name)
     # equal lines collapse to the first; a place as one number is combined in place before the shuffle
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")

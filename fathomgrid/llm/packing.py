@@ -27,14 +27,11 @@ WINDOW = 1024
 def _tokenized(spec: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = tokens.encoder(spec), TaskContext.get().partitionId(), 0
-        end, width = np.asarray([end_id], "<u4").tobytes(), f"<u{enc.width}"
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in enc.encode(b.column(1).to_pylist())]
-            n = np.array([len(x) for x in ids], np.int64)
+            ids, n = tokens.with_end(*enc.encode(b.column(1).to_pylist()), end_id)
             start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            packed = pa.array([x.astype(width).tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), packed], ["doc_id", "part", "start", "n", "ids"])
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), tokens.as_binary(ids, n, enc.width)], ["doc_id", "part", "start", "n", "ids"])
 
     return run
 
@@ -42,18 +39,18 @@ def _tokenized(spec: str, end_id: int):
 def _cut(base: dict[int, int], window: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for doc, part, at, n, ids in zip(*(b.column(k).to_pylist() for k in range(5))):
-                at, raw = at + base[part], np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-                k = 0
-                while k < n:
-                    seq, off = divmod(at + k, window)
-                    size = min(n - k, window - off)
-                    rows.append((doc, k, size, raw[4 * k : 4 * (k + size)], n, seq, off))
-                    k += size
-            cols = list(zip(*rows)) or [()] * 7
+            if not len(b):
+                continue
+            part, at, n = (b.column(k).to_numpy() for k in (1, 2, 3))
+            at = at + np.array([base[p] for p in part.tolist()], np.int64)
+            many = (at + n - 1) // window - at // window + 1
+            doc = np.repeat(np.arange(len(n)), many)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            begin = np.maximum(at[doc], (at[doc] // window + nth) * window)
+            length = np.minimum(at[doc] + n[doc], (begin // window + 1) * window) - begin
+            ids = np.frombuffer(b"".join(b.column(4).to_pylist()), f"<u{width}")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
+                [b.column(0).take(pa.array(doc)), pa.array(begin - at[doc]), pa.array(length), tokens.as_binary(ids, length, 4), pa.array(n[doc]), pa.array(begin // window), pa.array(begin % window)],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
@@ -77,14 +74,18 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0,
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """(sequence_id, ids array): the windows, padded."""
+    """(sequence_id, ids array): the windows, padded; ``pieces`` of :func:`pack` with this window.
+
+    An empty table gives no rows; a null piece counts as no ids.
+    """
+    tune(pieces.sparkSession)
     done = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for p in b.column(1).to_pylist():
-                x = np.frombuffer(b"".join(e["ids"] for e in p), "<u4").astype(np.int32)
+                x = np.frombuffer(b"".join(e["ids"] or b"" for e in p), "<u4").astype(np.int32)
                 rows.append(np.pad(x, (0, window - len(x)), constant_values=pad_id))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["sequence_id", "ids"])
 

@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, size: int = 5, words: int = 8, radius: int = 2,
     tune(spark)
     ws, width = Workspace(spark, name), 64 if words == 1 else 32
     rows = ws.save(fingerprints(docs, size, words), "rows")
-    tune(spark, 8192)
+    tune(spark)
     distinct = ws.save(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     placed = distinct.select("fp").mapInArrow(_placed(words, width, radius), "key long, fp binary").repartition("key").sortWithinPartitions("key")
     edges = ws.save(placed.mapInArrow(_linked(words, width, radius, most), "a binary, b binary").distinct(), "edges")
@@ -364,7 +364,7 @@ def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int
     for step, every in (("near", False), ("all", True)):
         found = None
         for k in range(0, 2 * words, TABLES):  # some tables at a time: their shuffle files go in between
-            tune(spark, 8192)
+            tune(spark)
             placed = group.mapInArrow(_set_places(range(k, min(k + TABLES, 2 * words)), radius), "key long, node long, grp long, fp binary").repartition("key").sortWithinPartitions("key")
             some = ws.save(placed.mapInArrow(_candidates(words, radius, most, every), "a long, b long").distinct(), f"{step}-{k}")
             found = some if found is None else found.unionByName(some)

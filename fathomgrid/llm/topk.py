@@ -83,7 +83,7 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, n
     repeated rows are candidates each; fewer than k candidates give fewer rows, an empty table none.
     """
     spark = table.sparkSession
-    tune(spark, 4096)
+    tune(spark)
     ws = Workspace(spark, name)
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     n = max(1, -(-rows.count() // BLOCK))
