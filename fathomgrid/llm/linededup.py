@@ -9,9 +9,13 @@ Words are ordered by rarity: by a table of hashed word counts over all lines (``
 same size for any corpus), ties by hash.  Any one order gives exact results; rarity keeps the lists
 short.  Two sets that similar share a word among the first few of either (prefix filter), at
 positions that leave room for the overlap (positional filter), and are close in size (length filter).
-In a word's list a set only looks for *an* earlier partner, the oldest first and at most ``TRIES``
-at a time after a bitmap bound; pairs are verified on whole lines, and sets whose partners failed
-look further in another round.  So families of near-equal lines cost no quadratic pair list.
+A word that occurs once is in no list.  The list of a word that may be long is cut into chunks, and
+every two chunks meet in a list of their own, so no list is larger than a task can hold.
+
+Entries travel packed, a block of bytes for each bucket of words, so Spark moves blocks and not rows.
+In a list a set only looks for *an* earlier partner, the oldest first and at most ``TRIES`` at a time
+after a bitmap bound; pairs are verified on whole lines, and sets whose partners failed look further
+in another round.  So families of near-equal lines cost no quadratic pair list.
 """
 
 from __future__ import annotations
@@ -26,43 +30,50 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, aside, tune
 
-SIMILARITY, LEAST_WORDS = 0.8, 5
-SLOTS = 1 << 20
+SIMILARITY, LEAST_WORDS = 0.8, 1
+#: Slots of the table of word counts, and slots of a part of it.
+SLOTS, SLICE = 1 << 22, 1 << 16
 #: Partners that a set proposes in a word's list in the first round; 64 times as many in each later one.
 TRIES = 1
-#: Rows of a batch of lines; entries after which a task compares the lists that it has whole.
-BATCH, ROWS = 4096, 500_000
+#: Lines whose words are sorted at once; entries of a list beyond which it is cut; entries after which a
+#: task compares the lists that it has whole.
+BATCH, LIST, ROWS = 4096, 20_000, 500_000
+#: Bytes of an entry; bytes of a bucket, of a task's buckets, and of packed entries that a task gathers.
+ENTRY, BUCKET, TASK, GATHERED = 52, 8 << 20, 64 << 20, 24 << 20
 #: Ids of lines to verify up to which they are broadcast (some MB).
 BROADCAST_IDS = 250_000
-_ENTRY = "word long, shape long, bits long, more_bits long, id long, doc_id long, line int"
+_LEFT = "word long, shape long, bits long, more_bits long, id long, place long, b long, asks boolean"
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Bytes of text hashed at a time: bounds memory for lines of any length.
 CHUNK = 1 << 22
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), _BASE, np.uint64))])
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every word, all bytes at once: a polynomial over each word's bytes, mixed."""
-    a = np.frombuffer("\n".join(lines).lower().encode("utf-8", "replace"), np.uint8)
-    space = _SPACE[a]
-    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(a) else np.zeros(0, np.int64)
-    if not len(start):
-        return start, start.astype(np.uint64)
-    tail, length = a[start[0] :], np.diff(np.append(start, len(a)))
-    pos = np.arange(len(tail)) - np.repeat(start - start[0], length)
-    value = (tail.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[pos]
-    value[space[start[0] :]] = 0
-    h = np.add.reduceat(value, start - start[0])
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.searchsorted(np.flatnonzero(a == 10), start), h ^ (h >> np.uint64(31))
+    """(line, hash) of every word, eight bytes of all words at once."""
+    raw = "\n".join(lines).lower().encode("utf-8", "replace")
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    length = end - start
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    h = mixed((eight[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    k, longer = 8, np.flatnonzero(length > 8)
+    while len(longer):
+        h[longer] = mixed(h[longer] ^ (eight[start[longer] + k] & _MASK[np.minimum(length[longer] - k, 8)]))
+        k += 8
+        longer = longer[length[longer] > k]
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    return np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate([[0], np.searchsorted(start, breaks), [len(start)]]))), h
 
 
 def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +85,7 @@ def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             out.append((row + at, h))
             some, at, size = [], k, 0
         if x is not None and len(x) > CHUNK:  # one line in parts
-            for j in range(0, len(w := x.encode("utf-8", "replace").split()), 1 << 18):
+            for j in range(0, len(w := x.lower().encode("utf-8", "replace").split()), 1 << 18):
                 _, h = _hashed([b" ".join(w[j : j + (1 << 18)]).decode()])
                 out.append((np.full(len(h), k), h))
             at = k + 1
@@ -101,22 +112,45 @@ def jaccard_reaches(a: set, b: set, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
+def _counts(similarity: float):
+    """The table of word counts in slices, as packed numbers; the slice -1 has the number of entries at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, entries = np.zeros(SLOTS, np.uint32), 0
+        for b in batches:
+            row, h = hashed_words(b.column(0).to_pylist())
+            at, n = np.unique(slot(h), return_counts=True)
+            total[at] += n.astype(np.uint32)
+            entries += int(prefix_length(np.bincount(row), similarity).sum())
+        parts = [k for k in range(SLOTS // SLICE) if total[k * SLICE : (k + 1) * SLICE].any()]
+        data = [total[k * SLICE : (k + 1) * SLICE].tobytes() for k in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([*parts, -1], pa.int32()), pa.array([*data, entries.to_bytes(8, "little")], pa.binary())], ["slice", "n"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        total += np.bincount(slot(hashed_words(b.column(0).to_pylist())[1]), minlength=SLOTS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+        for k, n in zip(b.column(0).to_pylist(), b.column(1)):
+            n = np.frombuffer(n.as_py(), np.int64 if k < 0 else np.uint32).astype(np.int64)
+            total[k] = total[k] + n if k in total else n
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "n"])
 
 
 def rank(counts: np.ndarray) -> np.ndarray:
-    """Rarity in 256 steps, rarest first, as the leading bits of a word's 52-bit key."""
-    return np.minimum(255, np.log2(np.maximum(counts, 1)) * 6).astype(np.uint64) << np.uint64(44)
+    """Rarity in 256 steps, rarest first: 0 for a word that occurs once."""
+    return np.minimum(255, np.ceil(np.log2(np.maximum(counts, 1)) * 6)).astype(np.uint8)
+
+
+def chunks_of(steps: np.ndarray) -> np.ndarray:
+    """Chunks that the lists of words of this rarity are cut into."""
+    return np.ceil(2.0 ** (steps / 6.0) / LIST).astype(np.int64)
 
 
 def sorted_sets(row: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of the distinct words of at most ``BATCH`` lines, in order, a line's rarest word first."""
-    key = row.astype(np.uint64) << np.uint64(52) | rarity[slot(h)] | h >> np.uint64(20)
+    key = row.astype(np.uint64) << np.uint64(52) | rarity[slot(h)].astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
     key.sort()
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -124,36 +158,75 @@ def sorted_sets(row: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> tuple[np.
     return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1)
 
 
-def _listed(rarity, similarity: float):
-    """A row for each word of each line's prefix: the word, size and position, a parity bitmap of the
-    whole set, and the line's id and place."""
+def _listed(rarity, similarity: float, least: int, buckets: int):
+    """Entries of the words of each line's prefix, packed by bucket: the list, a parity bitmap of the
+    whole set, the line's id and place, size and position."""
+
+    def entries(b: pa.RecordBatch, steps: np.ndarray) -> list[np.ndarray]:
+        row, key = sorted_sets(*hashed_words(b.column(3).to_pylist()), steps)
+        size = np.bincount(row, minlength=len(b))
+        start = np.cumsum(size) - size
+        bits = np.zeros((2, len(b)), np.uint64)
+        some = np.flatnonzero(size)
+        if len(some):
+            one, half = np.uint64(1) << (key & np.uint64(63)), (key & np.uint64(64)) == 0
+            bits[0, some] = np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), start[some])
+            bits[1, some] = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), one), start[some])
+        pos = np.arange(len(row)) - start[row]
+        keep = (size[row] >= least) & (pos < prefix_length(size, similarity)[row]) & (key >> np.uint64(44) > 0)
+        row, pos, key = row[keep], pos[keep], key[keep]
+        ids, doc, line = (b.column(k).to_numpy() for k in range(3))
+        # a long list in chunks: one's own chunk meets every other
+        chunks = chunks_of((key >> np.uint64(44)).astype(np.float64))
+        many = np.repeat(np.arange(len(key)), chunks)
+        key, row, pos, chunks = key[many], row[many], pos[many], chunks[many]
+        other = np.arange(len(many)) - np.searchsorted(many, many)
+        own = (mixed(ids[row].astype(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        key = mixed(key + (low * 1_000_003 + high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return [key, bits[0, row], bits[1, row], ids[row], doc[row], line[row].astype(np.int32), size[row].astype(np.uint32), pos.astype(np.uint32)]
+
+    def packed(held: list) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        bucket = (cols[0] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, cols = bucket[order], [c[order] for c in cols]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+        data = [b"".join([c[lo:hi].tobytes() for c in cols]) for lo, hi in zip(edge, edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = rarity.value
+        steps, held, n = rarity.value, [], 0
         for whole in batches:
             for lo in range(0, len(whole), BATCH):
-                b = whole.slice(lo, BATCH)
-                row, h = sorted_sets(*hashed_words(b.column(3).to_pylist()), rare)
-                size = np.bincount(row, minlength=len(b))
-                start = np.cumsum(size) - size
-                bits = np.zeros((2, len(b)), np.uint64)
-                some = np.flatnonzero(size)
-                if len(some):
-                    one, half = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) == 0
-                    bits[0, some] = np.bitwise_xor.reduceat(np.where(half, one, 0), start[some])
-                    bits[1, some] = np.bitwise_xor.reduceat(np.where(half, 0, one), start[some])
-                pos = np.arange(len(row)) - start[row]
-                keep = (size[row] >= LEAST_WORDS) & (pos < prefix_length(size, similarity)[row])
-                row, pos, h = row[keep], pos[keep], h[keep]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(size[row] << 32 | pos), *(pa.array(x[row].view(np.int64)) for x in bits), *(b.column(k).take(take) for k in range(3))],
-                    ["word", "shape", "bits", "more_bits", "id", "doc_id", "line"],
-                )
+                held.append(entries(whole.slice(lo, BATCH), steps))
+                n += ENTRY * len(held[-1][0])
+                if n >= GATHERED:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
+def unpacked(blocks: list[bytes]) -> list[np.ndarray]:
+    """Columns of packed entries, in the order of lists and places."""
+    out = []
+    for data in blocks:
+        n, at, cols = len(data) // ENTRY, 0, []
+        for kind in ("<u8", "<u8", "<u8", "<i8", "<i8", "<i4", "<u4", "<u4"):
+            cols.append(np.frombuffer(data, kind, n, at))
+            at += cols[-1].nbytes
+        out.append(cols)
+    cols = [np.concatenate(c) for c in zip(*out)]
+    # most lists have one entry: these fall away before the rest is ordered
+    _, of, n = np.unique(cols[0], return_inverse=True, return_counts=True)
+    cols = [c[n[of] > 1] for c in cols]
+    order = np.lexsort((cols[3], cols[5], cols[4], cols[0]))
+    return [c[order] for c in cols]
+
+
 def candidates(word, shape, bits, asks, similarity: float, skip: int, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, more) over whole lists, each in the order of places: entry i asks for an earlier j that
     passes the filters, from its candidate number ``skip`` on; more: the list may hold others for i."""
@@ -182,40 +255,63 @@ def candidates(word, shape, bits, asks, similarity: float, skip: int, tries: int
     return i, j, found[i] > skip + tries
 
 
-def _proposed(similarity: float, skip: int, tries: int):
+def _pairs(cols: list[np.ndarray], similarity: float, skip: int, tries: int) -> pa.RecordBatch:
     """Pairs: line ``id`` may equal the earlier line ``b``.  Lists that may hold further partners for some
-    of their lines (``asks``) follow whole, ``b`` being null and their order in ``doc_id``."""
+    of their lines (``asks``) follow whole, ``b`` being null and ``place`` their order."""
+    word, shape, *bits, ids, asks = cols
+    i, j, more = candidates(word, shape, [x.view(np.uint64) for x in bits], asks, similarity, skip, tries)
+    ask = np.zeros(len(word), bool)
+    ask[i[more]] = True
+    left = np.flatnonzero(np.isin(word, word[ask])) if ask.any() else np.zeros(0, np.int64)
+    at = np.concatenate([i, left])
+    b = np.concatenate([ids[j], np.zeros(len(left), np.int64)])
+    order = np.concatenate([np.zeros(len(i), np.int64), left])
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c[at].view(np.int64)) for c in (word, shape, *bits, ids)), pa.array(order), pa.array(b, mask=np.arange(len(at)) >= len(i)), pa.array(np.concatenate([more, ask[left]]))],
+        ["word", "shape", "bits", "more_bits", "id", "place", "b", "asks"],
+    )
+
+
+def _first_round(similarity: float, tries: int):
+    """The pairs of every bucket's lists; buckets come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def done(cols) -> pa.RecordBatch:
-            word, shape, *bits, ids, asks = cols
-            i, j, more = candidates(word, shape, [x.view(np.uint64) for x in bits], asks, similarity, skip, tries)
-            ask = np.zeros(len(word), bool)
-            ask[i[more]] = True
-            left = np.flatnonzero(np.isin(word, word[ask])) if ask.any() else np.zeros(0, np.int64)
-            at = np.concatenate([i, left])
-            b = np.concatenate([ids[j], np.zeros(len(left), np.int64)])
-            order = np.concatenate([np.zeros(len(i), np.int64), left])
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c[at]) for c in (word, shape, *bits, ids)), pa.array(order), pa.array(b, mask=np.arange(len(at)) >= len(i)), pa.array(np.concatenate([more, ask[left]]))],
-                ["word", "shape", "bits", "more_bits", "id", "doc_id", "b", "asks"],
-            )
-
-        n = 0
+        bucket, blocks = None, []
+
+        def done() -> pa.RecordBatch:
+            word, one, two, ids, _, _, size, pos = unpacked(blocks)
+            blocks.clear()
+            return _pairs([word, size.astype(np.int64) << 32 | pos, one, two, ids, np.ones(len(word), bool)], similarity, 0, tries)
+
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != bucket and blocks:
+                    yield done()
+                bucket = k
+                blocks.append(data)
+        if blocks:
+            yield done()
+
+    return run
+
+
+def _later_round(similarity: float, skip: int, tries: int):
+    """The same for lists that are left, which come in order, a row for each entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
             n += len(b)
             if n >= ROWS:
                 cols = [np.concatenate(c) for c in zip(*held)]
-                upto = len(cols[0]) - int(np.argmax(cols[0][::-1] != cols[0][-1])) if cols[0][0] != cols[0][-1] else 0  # the last word may go on
+                upto = len(cols[0]) - int(np.argmax(cols[0][::-1] != cols[0][-1])) if cols[0][0] != cols[0][-1] else 0  # the last list may go on
                 if upto:
-                    yield done([c[:upto] for c in cols])
+                    yield _pairs([c[:upto] for c in cols], similarity, skip, tries)
                 held = [[c[upto:] for c in cols]]
                 n = (len(cols[0]) - upto) // 2
         if held and any(len(c[0]) for c in held):
-            yield done([np.concatenate(c) for c in zip(*held)])
+            yield _pairs([np.concatenate(c) for c in zip(*held)], similarity, skip, tries)
 
     return run
 
@@ -230,9 +326,27 @@ def _verified(similarity: float):
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, text) of the lines that can have ``LEAST_WORDS`` words."""
+    """(doc_id, line, text) of the lines that have a word."""
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.where(F.length("text") >= 2 * LEAST_WORDS - 1)
+    return lines.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _place(docs: DataFrame) -> tuple[F.Column, F.Column, F.Column]:
+    """(place, doc_id, line): a line's place as one number, and what it says of the column ``place``.
+
+    One number is combined in place before a shuffle.  It is a long if the range of ids and lines lets
+    it be, else a decimal.
+    """
+    text = F.coalesce("text", F.lit(""))
+    lo, hi, most = docs.where("doc_id is not null").agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))).first()
+    bits = int(most or 0).bit_length()
+    if lo is None or (hi - lo).bit_length() + bits <= 62:
+        lo = lo or 0
+        place = F.shiftleft(F.col("doc_id") - F.lit(lo).cast("long"), bits) + F.col("line")
+        return place, F.shiftright("place", bits) + F.lit(lo).cast("long"), F.col("place").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    wide = F.lit(1 << 31).cast("decimal(10,0)")
+    line = F.pmod(F.col("place"), F.lit(1 << 31)).cast("int")
+    return F.col("doc_id").cast("decimal(20,0)") * wide + F.col("line"), F.floor((F.col("place") - line) / F.lit(1 << 31)).cast("long"), line
 
 
 def _name() -> list[F.Column]:
@@ -245,43 +359,54 @@ def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "lines") -> tuple[Workspace, DataFrame]:
+def later_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, name: str = "lines") -> tuple[Workspace, DataFrame]:
     """(doc_id, drop: sorted line numbers from 0) of the lines to remove; also the workspace.
 
-    Lines of fewer than ``LEAST_WORDS`` distinct words say too little and always stay, as do the
-    lines of rows whose doc_id is null.  Rows that repeat a doc_id count as one document there.
+    Lines without a word always stay, as do the lines of rows whose doc_id is null.  Lines of fewer
+    than ``least_words`` distinct words go only if an earlier line has the same text.  Rows that
+    repeat a doc_id count as one document there.
     """
     spark = docs.sparkSession
     tune(spark)
     ws = Workspace(spark, name)
-    # equal lines collapse to the first; a place as one number is combined in place before the shuffle
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
-    first = exploded(docs).groupBy("text").agg(F.min(place).alias("place"))
-    line = F.pmod(F.col("place"), F.lit(1 << 31)).cast("int")
-    first = first.select("text", line.alias("line"), F.floor((F.col("place") - line) / F.lit(1 << 31)).cast("long").alias("doc_id"), *_name())
+    place, doc_id, line = _place(docs)
+    first = exploded(docs).groupBy("text").agg(F.min(place).alias("place")).select("text", doc_id.alias("doc_id"), line.alias("line"), *_name())
     lines = ws.save(first.withColumn("id", F.monotonically_increasing_id()), "first")
-    n = lines.select("text").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-    counts = np.zeros(SLOTS, np.int64)
-    counts[n["slot"].to_numpy()] = n["n"].to_numpy()
+    parts = lines.select("text").mapInArrow(_counts(similarity), "slice int, n binary").repartition("slice").mapInArrow(_added, "slice int, n binary").collect()  # SLOTS numbers
+    counts, entries = np.zeros(SLOTS, np.int64), 0
+    for r in parts:
+        n = np.frombuffer(r.n, np.int64)
+        if r.slice < 0:
+            entries = int(n[0])
+        else:
+            counts[r.slice * SLICE : (r.slice + 1) * SLICE] = n
     rarity = spark.sparkContext.broadcast(rank(counts))
-    rows = lines.select("id", "doc_id", "line", "text").mapInArrow(_listed(rarity, similarity), _ENTRY).withColumn("asks", F.lit(True))
-    found, step, skip, tries = None, 0, 0, TRIES
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ENTRY * entries // TASK + 1)
+    buckets = max(8 * tasks, ENTRY * entries // BUCKET + 1)
+    rows = lines.select("id", "doc_id", "line", "text").mapInArrow(_listed(rarity, similarity, least_words, buckets), "bucket int, data binary")
+    found = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_first_round(similarity, TRIES), _LEFT)
+    hits, step, skip, tries = None, 0, 0, TRIES
     while True:
-        rows = rows.repartition("word").sortWithinPartitions("word", "doc_id", "line", "id").select("word", "shape", "bits", "more_bits", "id", "asks")
-        out = ws.save(rows.mapInArrow(_proposed(similarity, skip, tries), _ENTRY.replace("line int", "b long, asks boolean")), f"pairs-{step}")
-        pairs = out.where("b is not null").select(F.col("id").alias("a"), "b").distinct()
-        pairs = ws.save(pairs, f"unique-{step}")
+        out = ws.save(found, f"pairs-{step}")
+        pairs = ws.save(out.where("b is not null").select(F.col("id").alias("a"), "b").distinct(), f"unique-{step}")
         whole = _only(lines.select("id", "text"), pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         x, y = whole.select(F.col("id").alias("a"), F.col("text").alias("x")), whole.select(F.col("id").alias("b"), F.col("text").alias("y"))
         near = pairs.join(x, "a").join(y, "b").select("a", "x", "y")
         hit = ws.save(near.mapInArrow(_verified(similarity), "a long").distinct(), f"hit-{step}")
-        found = hit if found is None else found.unionByName(hit)
+        hits = hit if hits is None else hits.unionByName(hit)
         left = out.where("b is null").drop("b").join(hit.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left")
-        rows = left.select(*[c for c in out.columns if c not in ("b", "asks")], F.lit(0).alias("line"), (F.col("asks") & F.col("ok").isNull()).alias("asks"))
-        step, skip, tries = step + 1, skip + tries, 64 * tries
+        rows = left.select("word", "shape", "bits", "more_bits", "id", "place", (F.col("asks") & F.col("ok").isNull()).alias("asks"))
         if rows.where("asks").isEmpty():
             break
-    state = lines.select("id", "h", "g", F.struct("doc_id", "line").alias("at")).join(found.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").drop("id")
+        if step:
+            ws.drop(f"pairs-{step - 1}")
+        ws.drop(f"unique-{step}")
+        step, skip, tries = step + 1, skip + tries, 64 * tries
+        rows = rows.repartition("word").sortWithinPartitions("word", "place").select("word", "shape", "bits", "more_bits", "id", "asks")
+        found = rows.mapInArrow(_later_round(similarity, skip, tries), _LEFT)
+    for k in (step - 1, step):
+        ws.drop(f"pairs-{k}")
+    state = lines.select("id", "h", "g", F.struct("doc_id", "line").alias("at")).join(hits.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").drop("id")
     gone = exploded(docs).select(*_name(), "doc_id", "line").join(state, ["h", "g"]).where((F.struct("doc_id", "line") > F.col("at")) | F.coalesce("late", F.lit(False)))
     gone = ws.save(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop")), "gone")
     ws.drop("first")
@@ -289,21 +414,24 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "li
     return ws, gone
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, name: str = "lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, name: str = "lines") -> DataFrame:
     """``docs`` with their texts short of the later lines (and ``n_chars`` following, where there is one),
     and a column ``removed`` with the numbers of the lines that went.
 
     Null texts stay null, empty ones empty; an empty table gives no rows.
     """
-    out, cols = _without(docs, similarity, name)
+    out, cols = _without(docs, similarity, least_words, name)
     return out.select(*cols, "gone").toDF(*docs.columns, "removed")
 
 
-def _without(docs: DataFrame, similarity: float, name: str) -> tuple[DataFrame, list[str]]:
+def _without(docs: DataFrame, similarity: float, least_words: int, name: str) -> tuple[DataFrame, list[str]]:
     """``docs`` under names of :func:`aside`, texts changed, with ``gone``; and those names."""
-    _, gone = later_lines(docs.select("doc_id", "text"), similarity, name)
+    _, gone = later_lines(docs.select("doc_id", "text"), similarity, least_words, name)
     d, of = aside(docs)
-    d = d.join(gone, F.col(of["doc_id"]).cast("long") == F.col("doc_id"), "left")
+    key = F.col(of["doc_id"])
+    # the same plan at any size; rows without an id, however many, stay where they are
+    known = d.where(key.isNotNull()).join(gone.hint("shuffle_hash"), key.cast("long") == F.col("doc_id"), "left").drop("doc_id")
+    d = known.unionByName(d.where(key.isNull()).withColumn("drop", F.lit(None).cast("array<int>")))
     lines = F.split(of["text"], "\n")
     kept = F.filter(lines, lambda _, k: ~F.array_contains("drop", k))
     put = {of["text"]: F.when(F.col("drop").isNull(), F.col(of["text"])).otherwise(F.array_join(kept, "\n"))}
@@ -313,9 +441,9 @@ def _without(docs: DataFrame, similarity: float, name: str) -> tuple[DataFrame,
     return d.withColumns(put | {"gone": F.coalesce("drop", F.array().cast("array<int>"))}), list(of.values())
 
 
-def keep_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_documents(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """A pipeline stage: line-deduplicated ``docs``; documents that had lines and have none left go."""
-    out, cols = _without(docs, similarity, "lines")
+    out, cols = _without(docs, similarity, least_words, "lines")
     text = F.col(cols[docs.columns.index("text")])
     return out.where((F.size("gone") == 0) | text.rlike(r"[^\x20\x09-\x0D]")).select(cols).toDF(*docs.columns)
 

@@ -124,7 +124,7 @@ def brute_lines(rows):
     for d, text in sorted(((r[0], r[1] or "") for r in rows if r[0] is not None), key=lambda x: x[0]):
         for k, line in enumerate(text.split("\n")):
             s = set(WORD.findall(line.lower()))
-            if len(s) >= 5:
+            if s:
                 if any(len(s & t) / len(s | t) >= 0.8 for _, t in seen):
                     gone.setdefault(d, set()).add(k)
                 seen.append(((d, k), s))
