@@ -26,13 +26,13 @@ from .common import tune
 
 #: Labelled rows that the classifier is fitted on (those with the smallest hashes of doc_id).
 LABELLED = 30_000
-#: Documents a feature must be toxic in, its least log-likelihood ratio, and its least evidence in nats.
-SEEN, RATIO, EVIDENCE = 3, 2.0, 8.0
+#: Documents a feature must be toxic in at least, and its least log-likelihood ratio.
+SEEN, RATIO = 2, 2.0
 #: Letters and signs of a token that may be part of a word set apart by spaces: two parts of a word of
 #: five letters are always this short.
 SHORT = 4
-#: Words that a worker keeps.
-CACHE = 300_000
+#: Words that a worker keeps, and letters of the longest of them: together some 50 MB.
+CACHE, LONGEST = 150_000, 64
 
 _OUTER = ".,;:!?\"'()[]{}<>*#%&|~`^=/\\-_“”‘’«»…"
 _LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c"}
@@ -77,14 +77,13 @@ def character_model(docs: DataFrame) -> np.ndarray:
     """Log-probabilities [a, b, c] of c after a and b, counted over all words of letters of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(64**3, np.int64), {}
+        total = np.zeros(64**3, np.int64)
         for b in batches:
+            words: dict[str, int] = {}
             for text in b.column(0).to_pylist():
                 for w in (text or "").lower().split():
                     words[w] = words.get(w, 0) + 1
-            if len(words) > CACHE:
-                total, words = total + _letters(words), {}
-        total += _letters(words)
+            total += _letters(words)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
 
@@ -270,7 +269,7 @@ class Scorer:
         return max((self.weights.get(f, 0.0) for r in readings(w, self.table, self.may) for f in features(r)), default=0.0)
 
     def text(self, text: str | None) -> tuple[float, float]:
-        """Weight of the worst word, and the weights of the others together (at most 20)."""
+        """Weight of the worst word, and the logarithm of one and the weights of the others together."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         top = rest = 0.0
@@ -278,11 +277,13 @@ class Scorer:
         for w in words_of(text):
             x = get(w)
             if x is None:
-                x = self.cache[w] = self.word(w)
+                x = self.word(w)
+                if len(w) <= LONGEST:
+                    self.cache[w] = x
             if x > top:
                 top, x = x, top
             rest += x
-        return top, min(rest, 20.0)
+        return top, math.log1p(rest)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -300,14 +301,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """(character model, feature weights, logistic weights) from the rows whose label may be learned."""
+    """(character model, feature weights, logistic weights) from the rows whose label may be learned.
+
+    Null labels and null doc_ids teach nothing; rows that repeat a doc_id count once, with the smallest
+    of its texts and the largest of its labels; null and empty texts have no features; without labels of
+    both kinds every text gets one score.
+    """
     spark = docs.sparkSession
     tune(spark)
     model = character_model(docs)
     may = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     known = labels.where("toxic is not null and doc_id is not null").where(may).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # LABELLED rows of two numbers
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # LABELLED rows of two numbers
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, int], int] = {}
@@ -324,9 +331,12 @@ def fit(docs: DataFrame, labels: DataFrame):
                 if len(read) > CACHE:
                     read.clear()
                 for w in words_of(text):
-                    if w not in read:
-                        read[w] = readings(w, table)
-                    for r in read[w]:
+                    got = read.get(w)
+                    if got is None:
+                        got = readings(w, table)
+                        if len(w) <= LONGEST:
+                            read[w] = got
+                    for r in got:
                         seen.update(features(r))
                 for f in seen:
                     n[f, y] = n.get((f, y), 0) + 1
@@ -338,11 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame):
     got = got.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     got = got.where(f"f = '' or (bad >= {SEEN} and bad > good)").collect()  # bounded by the labelled rows
     bad, good = next(((r.bad, r.good) for r in got if r.f == ""), (0, 0))
-    weights = {}
+    weights, evidence = {}, math.log(max(1, len(got)))  # so many nats leave about one feature to chance
     for r in got:
         if r.f and bad and good:
             ratio = math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1))
-            if ratio >= RATIO and r.bad * math.log((r.bad / (r.bad + r.good)) * (bad + good) / bad) >= EVIDENCE:
+            if ratio >= RATIO and r.bad * math.log((r.bad / (r.bad + r.good)) * (bad + good) / bad) >= evidence:
                 weights[r.f] = ratio
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,5 +400,9 @@ def toxicity_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
+    """``docs`` without the rows predicted toxic.
+
+    Null, empty and blank texts say nothing toxic and stay; repeated rows stay or go together; an empty
+    table gives no rows; other columns pass through, whatever their names.
+    """
     return score(docs, fit(docs, labels), keep=True)
