@@ -9,7 +9,8 @@ from ..functions.text import tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
 WEIGHTS = {"keyword": 0.20, "vector": 0.30, "graph": 0.25}
-STOP = frozenset("a an and are as at be by for from how in is it of on or that the this to was what when where which with".split())
+# Words that a relaxed query leaves out.
+STOP = frozenset("a an and are as before by class does for from how in into is it logic of on or that the this to where with".split())
 
 
 def query_terms(query: str, relaxed: bool = False) -> list[str]:

@@ -40,7 +40,7 @@ def content_hash_dups(s, d):
     return dt.files(s, d).groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-@query(r"SELECT doc_id AS id, (ceil((length(text) - length(regexp_replace(text, '[\x{3000}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g'))) / 1.5) + ceil(length(regexp_replace(text, '[\x{3000}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g')) / 3.5))::BIGINT AS tokens FROM documents")
+@query(rf"SELECT doc_id AS id, (ceil((length(text) - length(regexp_replace(text, '{tx.CJK}', '', 'g'))) / 1.5) + ceil((length(regexp_replace(text, '{tx.CJK}', '', 'g')) + len(regexp_extract_all(text, '{tx.WIDE}'))) / 3.5))::BIGINT AS tokens FROM documents")
 def token_estimate(s, d):
     return dt.docs(s, d).select("id", tx.token_estimate(F.col("text")).alias("tokens"))
 
@@ -55,15 +55,18 @@ def glob_filter(s, d):
     return dt.files(s, d).where(F.col("path").rlike(tx.glob_regex("src1*/en/**"))).select("id")
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(lower(url), '(test|spec|mock|fixture|stub)')")
+@query(f"SELECT page_id, url FROM pages WHERE NOT regexp_matches(lower(url), '{tx.LOW_VALUE}')")
 def low_value_filter(s, d):
-    return dt.table(s, d, "pages").where(~F.lower("url").rlike("(test|spec|mock|fixture|stub)")).select("page_id", "url")
+    return dt.table(s, d, "pages").where(~tx.low_value(F.col("url"))).select("page_id", "url")
 
 
-@query("SELECT doc_id AS id, CASE WHEN regexp_matches(lower(text), 'password|secret') THEN 'secret' WHEN regexp_matches(lower(text), 'token|api.?key') THEN 'token' ELSE 'none' END AS risk FROM documents")
+def _case(rules, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, c in rules) + f" ELSE {otherwise} END"
+
+
+@query(f"SELECT doc_id AS id, {_case(((r, f'contains(lower(text), {chr(39)}{r}{chr(39)})') for r in tx.RISKS), chr(39) + 'none' + chr(39))} AS risk FROM documents")
 def risk_flags(s, d):
-    low = F.lower("text")
-    return dt.docs(s, d).select("id", F.when(low.rlike("password|secret"), "secret").when(low.rlike("token|api.?key"), "token").otherwise("none").alias("risk"))
+    return dt.docs(s, d).select("id", tx.risk_of(F.col("text")).alias("risk"))
 
 
 def _bm25_sql(terms: list[str], every: bool, limit: int = 20) -> str:
@@ -86,7 +89,8 @@ def bm25_relaxed(s, d):
 
 def _probe(s, d) -> list[float]:
     """The vector of the smallest id: the query of the vector demos."""
-    return dt.vectors(s, d).orderBy("id").select("vec").first()[0]
+    row = dt.vectors(s, d).orderBy("id").select("vec").first()
+    return row[0] if row else []
 
 
 KNN = "q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), k AS (SELECT vec_id AS id, label, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 6) AS distance FROM embeddings, q)"
@@ -102,7 +106,10 @@ def knn_filtered(s, d):
     return retrieval.knn(dt.vectors(s, d), _probe(s, d), where="label = 3")
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'error|bug|fail') THEN 'debug' WHEN regexp_matches(lower(text), 'test|spec') THEN 'test' WHEN regexp_matches(lower(text), 'rename|refactor|move') THEN 'refactor' WHEN regexp_matches(lower(text), 'route|endpoint|http') THEN 'route' WHEN regexp_matches(lower(text), 'how|what|why') THEN 'explain' ELSE 'search' END AS intent FROM conversations")
+INTENT = _case(((n, "(" + " OR ".join([f"contains(lower(text), '{h}')" for h in hints] + ([f"regexp_matches(text, '{tx.ADD_TEST}')"] if n == "add_test" else [])) + ")") for n, hints in tx.INTENTS), "'general'")
+
+
+@query(f"SELECT conv_id, turn, {INTENT} AS intent FROM conversations")
 def intent_classify(s, d):
     return dt.table(s, d, "conversations").select("conv_id", "turn", tx.intent(F.col("text")).alias("intent"))
 
@@ -215,11 +222,13 @@ def context_pack_greedy(s, d):
     return session.pack_greedy(c, 60, ["conv_id"], "turn", "role")
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM part UNION ALL SELECT count(*) FROM orders UNION ALL SELECT count(*) FROM nation) SELECT n, CASE WHEN n < 500 THEN 'tiny' WHEN n < 2000 THEN 'small' WHEN n < 10000 THEN 'medium' WHEN n < 50000 THEN 'large' ELSE 'huge' END AS tier FROM n")
+TIER = "CASE " + " ".join((f"WHEN n < {t[1]} THEN " if t[1] else "ELSE ") + f"{{'tier': '{t[0]}', 'chars': {t[2]}, 'files': {t[3]}, 'each': {t[4]}}}" for t in tx.TIERS) + " END"
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM part UNION ALL SELECT count(*) FROM orders UNION ALL SELECT count(*) FROM nation), t AS (SELECT n, {TIER} AS t FROM n) SELECT n, t.tier AS tier, t.chars::INTEGER AS max_output_chars, t.files::INTEGER AS max_files, t.each::INTEGER AS max_chars_per_file FROM t")
 def adaptive_tier(s, d):
     n = [dt.table(s, d, x).agg(F.count("*").alias("n")) for x in ("part", "orders", "nation")]
-    c = F.col("n")
-    return n[0].unionByName(n[1]).unionByName(n[2]).select("n", F.when(c < 500, "tiny").when(c < 2000, "small").when(c < 10000, "medium").when(c < 50000, "large").otherwise("huge").alias("tier"))
+    return n[0].unionByName(n[1]).unionByName(n[2]).withColumn("t", tx.tier(F.col("n"))).select("n", "t.tier", "t.max_output_chars", "t.max_files", "t.max_chars_per_file")
 
 
 CUT = "TIMESTAMP '2024-01-15'"
@@ -257,9 +266,9 @@ def incremental_diff(s, d):
     return session.diff(f.where("id % 5 <> 0"), f.where("id % 3 <> 0").withColumn("hash", F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("hash"))))
 
 
-@query("SELECT file, item, owner FROM (SELECT a.l_orderkey AS file, a.l_linenumber AS item, b.l_linenumber AS owner, row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY b.l_quantity, b.l_linenumber) AS k FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_quantity <= b.l_quantity AND a.l_linenumber <> b.l_linenumber AND a.l_orderkey < 500) WHERE k = 1")
+@query("SELECT file, item, owner FROM (SELECT a.l_orderkey AS file, a.l_linenumber AS item, b.l_linenumber AS owner, row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY b.l_quantity, b.l_linenumber) AS k FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_quantity <= b.l_quantity AND a.l_linenumber <> b.l_linenumber) WHERE k = 1")
 def containment_join(s, d):
-    li = dt.table(s, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("item"), F.lit(0.0).alias("lo"), F.col("l_quantity").alias("hi"))
+    li = dt.table(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("item"), F.lit(0.0).alias("lo"), F.col("l_quantity").alias("hi"))
     outer = li.select("file", F.col("item").alias("owner"), "lo", "hi")
     o = outer.withColumnsRenamed({"lo": "olo", "hi": "ohi"})
     hit = li.join(o, "file").where("olo <= lo and hi <= ohi and owner <> item")

@@ -13,11 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import generate_id, language_of, role_of
+from ..functions.text import generate_id, ignored, language_of, role_of
 
 _SHIPPED: dict[str, str] = {}
 MAX_BYTES = 1_000_000
-IGNORED = r"(^|/)(node_modules|\.git|dist|build|coverage|__pycache__|\.venv|vendor)/"
 _JS = (
     ("class", re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(\w+)", re.M)),
     ("interface", re.compile(r"^[ \t]*(?:export\s+)?interface\s+(\w+)", re.M)),
@@ -42,11 +41,21 @@ def _ship(spark: SparkSession) -> None:
         _SHIPPED["app"] = app
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(id, path, language, role, size, hash, content): files up to a megabyte without NUL in the first 8 KB."""
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def discover(spark: SparkSession, root: str, more_ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(id, path, language, role, size, hash, content): files up to a megabyte without NUL in the first 8 KB.
+
+    The root's ``.gitignore``, if there is one, and ``more_ignored`` rule out paths beside the default names.
+    """
+    rules = spark.read.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=".gitignore").collect() if _has(spark, f"{root.rstrip('/')}/.gitignore") else []  # one small file
+    more_ignored = (*(line for r in rules for line in r.value.splitlines()), *more_ignored)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     f = f.withColumn("path", F.regexp_replace("path", r"^.*?" + re.escape(root.strip("/")) + "/", ""))
-    f = f.where((F.col("length") <= MAX_BYTES) & ~F.col("path").rlike(IGNORED) & (F.position(F.lit(b"\x00"), F.substring("content", 1, 8192)) == 0))
+    f = f.where((F.col("length") <= MAX_BYTES) & ~ignored(F.col("path"), more_ignored) & (F.position(F.lit(b"\x00"), F.substring("content", 1, 8192)) == 0))
     return f.select(generate_id(F.lit("file"), F.col("path")).alias("id"), "path", language_of(F.col("path")).alias("language"), role_of(F.col("path")).alias("role"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("content"))
 
 
