@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, aside
 
 #: Blocks of a shard: the grain of a transfer, 1/512 of a shard.
 BLOCKS = 512
-#: Finer parts of a block that slots are counted in, so that no block of equal texts is one task.
-SPREAD = 16
+#: Rows of a part of a block that slots are counted in: a block of very many equal texts is many tasks.
+ROWS = 100_000
+#: Slots of a written file.
+FILE = 1 << 16
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> list[list[int]]:
@@ -96,78 +98,73 @@ def plan_transfers(blocks: dict[tuple[int, int], int], old: int, capacity: list[
     return out
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``size`` (UTF-8 bytes of the text and one for its end; null: 1) and ``text_crc32``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("size", (F.octet_length(whole) + 1).cast("long")).withColumn("text_crc32", F.crc32(whole))
+def reshard(docs: DataFrame, capacity: list[int], old_shards: int | None = None, shard: str | None = None, name: str = "shards") -> DataFrame:
+    """``docs`` with ``size text_crc32 old_shard block shard slot`` for shards of these capacities.
 
-
-def blocked(docs: DataFrame, old_shards: int, group: str = "text", shard: F.Column | None = None) -> DataFrame:
-    """Adds ``old_shard`` and ``block``.  Documents with equal ``group`` share both.
-
-    Without a ``shard`` of their own, documents lie where the hash of their group puts them.
-    """
-    h = F.xxhash64(F.coalesce(F.col(group), F.lit("")))
-    old = shard if shard is not None else F.pmod(h, F.lit(old_shards)).cast("int")
-    return docs.withColumn("old_shard", old).withColumn("block", F.pmod(F.shiftright(h, 8), F.lit(BLOCKS)).cast("int"))
-
-
-def reshard(docs: DataFrame, capacity: list[int], old_shards: int | None = None, name: str = "shards") -> DataFrame:
-    """(every column but the text, ``old_shard block shard slot``) for shards of these capacities.
-
-    Null texts count as empty; empty tables give no rows; equal texts stay together whatever their
-    number (a group larger than a shard's capacity makes that shard too large: there is no other
-    whole answer); repeated rows get slots of their own, in the order of ``doc_id``.
+    ``size``: UTF-8 bytes of the text and one for its end; null texts count as empty.  ``shard``: the
+    column that says where a document lies; without it, where the hash of its text puts it.  Equal texts
+    of one old shard stay together whatever their number (a group larger than a shard's capacity makes
+    that shard too large: there is no other whole answer).  Repeated rows get slots of their own; slots
+    of a shard are gapless from 0.  Columns of these names give way; an empty table gives no rows.
     """
-    ws = Workspace(docs.sparkSession, name)
+    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, name)
     old = old_shards or len(capacity)
-    base = blocked(sizes(docs), old).select("doc_id", "size", "text_crc32", "old_shard", "block")
-    base = ws.save(base.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")), "rows")
-    got = base.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most old * BLOCKS * SPREAD rows
-    weigh: dict[tuple[int, int], int] = {}
-    for r in got:
-        weigh[r.old_shard, r.block] = weigh.get((r.old_shard, r.block), 0) + r.bytes
-    where = plan_transfers(weigh, old, capacity)
-    first, at = [], dict.fromkeys(range(len(capacity)), 0)
-    for r in sorted(got, key=lambda r: (where[r.old_shard, r.block], r.old_shard, r.block, r.part)):
-        j = where[r.old_shard, r.block]
-        first.append((r.old_shard, r.block, r.part, j, at[j]))
-        at[j] += r.n
-    key = ["old_shard", "block", "part"]
-    places = docs.sparkSession.createDataFrame(first, "old_shard int, block int, part int, shard int, first long")
-    order = F.row_number().over(_window(key))
-    return base.withColumn("k", order - 1).join(F.broadcast(places), key).select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.col("k")).alias("slot"))
-
-
-def _window(key: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*key).orderBy("doc_id", "size", "text_crc32")
+    d, of = aside(docs)
+    text = F.coalesce(F.col(of["text"]), F.lit(""))
+    h = F.xxhash64(text)
+    lies = F.col(of[shard]).cast("int") if shard else F.pmod(h, F.lit(old)).cast("int")
+    base = d.select("*", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), lies.alias("old_shard"), F.pmod(F.shiftright(h, 8), F.lit(BLOCKS)).cast("int").alias("block"), F.monotonically_increasing_id().alias("row"))
+    base = ws.save(base, "rows")
+    got = base.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most old * BLOCKS rows
+    where = plan_transfers({(r.old_shard, r.block): r.bytes for r in got}, old, capacity)
+    # slots: counted in parts of about ROWS rows, then in each part
+    plan = [(r.old_shard, r.block, where[r.old_shard, r.block], -(-r.n // ROWS)) for r in got]
+    plan = F.broadcast(spark.createDataFrame(plan, "old_shard int, block int, shard int, parts int"))
+    base = base.join(plan, ["old_shard", "block"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    key, first, at = ["old_shard", "block", "part"], [], dict.fromkeys(range(len(capacity)), 0)
+    counts = base.groupBy("shard", *key).agg(F.count("*").alias("n")).collect()  # a row for each block and each ROWS rows
+    for r in sorted(counts, key=lambda r: (r.shard, r.old_shard, r.block, r.part)):
+        first.append((r.old_shard, r.block, r.part, at[r.shard]))
+        at[r.shard] += r.n
+    places = F.broadcast(spark.createDataFrame(first, "old_shard int, block int, part int, first long"))
+    order = F.row_number().over(Window.partitionBy(*key).orderBy(of["doc_id"], "row"))
+    new = ["size", "text_crc32", "old_shard", "block", "shard", "slot"]
+    kept = [c for c in docs.columns if c not in new]
+    out = base.withColumn("k", order - 1).join(places, key).withColumn("slot", F.col("first") + F.col("k"))
+    return out.select(*[of[c] for c in kept], *new).toDF(*kept, *new)
 
 
 def affected(placed: DataFrame) -> DataFrame:
-    """(shard) of the shards whose files change: those that give or take a document."""
+    """(shard) of the shards whose files change: those that give or take a document; none for no rows."""
     moved = placed.where("old_shard <> shard")
     return moved.select("old_shard").unionByName(moved.select(F.col("shard").alias("old_shard"))).distinct().withColumnRenamed("old_shard", "shard")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the affected shards only, one folder each; the others keep their files.
+def rewrite(placed: DataFrame, path: str) -> list[int]:
+    """Writes the affected shards of :func:`reshard`'s rows, one folder each; returns their numbers.
 
-    Columns of ``docs`` named ``shard`` or ``slot`` give way to the new ones.
+    Folders of other shards keep their files.  A file holds ``FILE`` slots in order; repeated rows are
+    written each in its own slot; no rows, no files.
     """
-    docs = docs.drop("shard", "slot")
-    places = placed.join(F.broadcast(affected(placed)), "shard", "left_semi").select("doc_id", "text_crc32", "shard", "slot")
-    rows = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-    (
-        rows.join(places.dropDuplicates(["doc_id", "text_crc32"]), [rows.doc_id.eqNullSafe(places.doc_id), rows.text_crc32 == places.text_crc32])
-        .select(*[rows[c] for c in docs.columns], places.shard.alias("shard"), places.slot.alias("slot"))
-        .repartition("shard", F.pmod("slot", F.lit(64)))
-        .write.mode("overwrite").partitionBy("shard").parquet(path)
-    )
+    shards = sorted(r.shard for r in affected(placed).collect())  # one row for each shard
+    rows = placed.where(F.col("shard").isin(shards)).drop("old_shard", "block")
+    rows = rows.repartition("shard", F.floor(F.col("slot") / FILE)).sortWithinPartitions("shard", "slot")
+    if shards:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    return shards
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The contract's digest: law ``bytes``, shards of equal capacity, ``grown_shard`` null."""
-    placed = reshard(docs.select("doc_id", "text"), [1] * shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "block")
+    """The contract's digest: law ``bytes``, shards of equal capacity, ``grown_shard`` null.
+
+    Rows of rewritten shards are read back from their files, the others (if any) lie where they were.
+    """
+    ws = Workspace(docs.sparkSession, "shard-files")
+    placed = ws.save(reshard(docs.select("doc_id", "text"), [1] * shards), "placed")
+    written = rewrite(placed, ws.path("files"))
+    out = placed.where(~F.col("shard").isin(written)).select("doc_id", "size", "text_crc32", "text", "slot", "shard")
+    if written:
+        schema = placed.select("doc_id", "text", "size", "text_crc32", "slot", "shard").schema
+        out = out.unionByName(docs.sparkSession.read.schema(schema).parquet(ws.path("files")))
+    whole = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
