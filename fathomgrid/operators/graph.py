@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fathomgrid-graph-"))
     return df.checkpoint()
 
@@ -32,7 +34,7 @@ def bfs(edges: DataFrame, seeds: list[str], hops: int, direction: str = "out", t
     seen = front = spark.createDataFrame([(s, 0) for s in seeds], "node string, distance int")
     for d in range(1, hops + 1):
         step = front.join(e, front.node == e.src).select(F.col("dst").alias("node"), F.lit(d).alias("distance")).distinct()
-        front = _cut(step.join(seen, "node", "left_anti"))
+        front = cut(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -46,7 +48,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 5) -> Data
     seen = front = spark.createDataFrame([(start, start, 0)], "node string, path string, distance int")
     for d in range(1, hops + 1):
         step = front.join(e, front.node == e.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path")).withColumn("distance", F.lit(d))
-        front = _cut(step.join(seen, "node", "left_anti"))
+        front = cut(step.join(seen, "node", "left_anti"))
         seen = seen.unionByName(front)
         if front.isEmpty() or not front.where(F.col("node") == end).isEmpty():
             break
@@ -101,6 +103,65 @@ def louvain(nodes: list[str], edges: list[tuple[str, str]], passes: int = 10, re
     return of
 
 
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable either way, by repeated minima over neighbours' labels.
+
+    Labels of labels are followed in each round, so the rounds grow with the logarithm of the longest path.
+    """
+    both = directed(edges.withColumn("confidence", F.lit(1.0)), "both").where("src <> dst")
+    labels = cut(nodes.select("node", F.col("node").alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
+        step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+        new = cut(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component")))
+        if new.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty():
+            return new
+        labels = new
+
+
+def communities(edges: DataFrame, nodes: DataFrame, largest: int = 200_000) -> DataFrame:
+    """(node, community): :func:`louvain` in each connected component, a component in one task.
+
+    Moving is sequential by definition, so a component of more than ``largest`` nodes raises an error:
+    cut it by edge type first.  A community's name is its smallest node.
+    """
+    of = cut(components(edges, nodes))
+    if not of.groupBy("component").count().where(F.col("count") > largest).isEmpty():
+        raise ValueError(f"a connected component has more than {largest} nodes")
+    e = edges.select("from_id", "to_id").where("from_id <> to_id").distinct().join(of.select(F.col("node").alias("from_id"), "component"), "from_id")
+    rows = of.select("component", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(e.select("component", F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+    def run(f):
+        import pandas as pd
+
+        own = sorted(f.loc[f.b.isna(), "a"])
+        found = louvain(own, list(f.loc[f.b.notna(), ["a", "b"]].itertuples(index=False, name=None)))
+        first: dict[int, str] = {}
+        for n in own:
+            first.setdefault(found[n], n)
+        return pd.DataFrame({"node": own, "community": [first[found[n]] for n in own]})
+
+    from ..sources.source_tree import ship
+
+    ship(edges.sparkSession)
+    return rows.groupBy("component").applyInPandas(run, "node string, community string")
+
+
+def neighbours(edges: DataFrame, node: str, direction: str = "both", kind: str | None = None) -> DataFrame:
+    """(node) one edge away."""
+    return directed(edges, direction, [kind] if kind else None).where(F.col("src") == node).select(F.col("dst").alias("node")).distinct()
+
+
+def path_weight(edges: DataFrame, start: str, end: str, hops: int = 5) -> DataFrame:
+    """(path, distance, weight): the shortest path and the sum of one less confidence over its edges."""
+    p = shortest_path(edges, start, end, hops).withColumn("n", F.split("path", ">"))
+    pairs = p.select("path", "distance", F.explode(F.arrays_zip(F.slice("n", 1, F.size("n") - 1).alias("a"), F.slice("n", 2, F.size("n") - 1).alias("b"))).alias("e"))
+    best = edges.groupBy("from_id", "to_id").agg(F.max("confidence").alias("confidence"))
+    on = (F.col("e.a") == F.col("from_id")) & (F.col("e.b") == F.col("to_id"))
+    return pairs.join(best, on).groupBy("path", "distance").agg(F.round(F.sum(1 - F.col("confidence")), 6).alias("weight"))
+
+
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(community, n, cohesion): ``2 * internal / n^2`` for members(community, node)."""
     a, b = members.select(F.col("community").alias("ca"), F.col("node").alias("from_id")), members.select(F.col("community").alias("cb"), F.col("node").alias("to_id"))

@@ -28,7 +28,7 @@ _GO = (("function", re.compile(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", re.M)), ("inte
 _JS_IMPORT = re.compile(r"""(?:from|import|require\()\s*['"]([^'"]+)['"]""")
 
 
-def _ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark context."""
     app = spark.sparkContext.applicationId
     if _SHIPPED.get("app") != app:
@@ -95,7 +95,7 @@ def facts(files: DataFrame) -> DataFrame:
             rows = [(p, *x) for p, lang, t in zip(f.path, f.language, f.content) for x in parse(p, lang, t)]
             yield pd.DataFrame(rows, columns=["path", "what", "kind", "name", "first", "last"])
 
-    _ship(files.sparkSession)
+    ship(files.sparkSession)
     return files.select("path", "language", "content").mapInPandas(run, "path string, what string, kind string, name string, first int, last int")
 
 
