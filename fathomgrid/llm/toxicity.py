@@ -260,21 +260,105 @@ def words_of(text: str | None) -> set[str]:
     return words
 
 
+def _folded_bytes() -> tuple[bytes, bytes]:
+    """A translation of Latin-1 bytes of lower-cased text, and the bytes that it drops.
+
+    A letter becomes the one that stands for all its readings, a look-alike that letter in upper case,
+    white space a space, and what is beyond Latin-1 (``?`` by then) a star; the rest says nothing.
+    """
+    table, drop = bytearray(256), bytearray()
+    for c in range(256):
+        ch = chr(c)
+        fold = lambda x: {"l": "i", "b": "g"}.get(x, x)
+        if ch == "?":
+            table[c] = ord("*")
+        elif ch in _LOOKS:
+            table[c] = ord(fold(_LOOKS[ch][0]).upper())
+        elif ch.isspace():
+            table[c] = 32
+        elif ch.isalpha() and ch.lower() == ch:
+            table[c] = ord(fold(ch))
+        elif ch.isalpha():
+            table[c] = ord("*")
+        else:
+            drop.append(c)
+    return bytes(table), bytes(drop)
+
+
+_FOLD, _DROP = _folded_bytes()
+
+
+def folded(text: str) -> bytes:
+    return text.encode("latin-1", "replace").translate(_FOLD, _DROP)
+
+
+def may_hold(features: Iterable[str]):
+    """The numbers of the tokens of a text at which a word or run may begin that has one of these features.
+
+    Like :func:`may_say`, on all of a text's bytes at once: look-alikes and characters beyond Latin-1 may
+    be any letter they stand for or nothing.  No other token begins one.
+    """
+    trie: dict = {}
+    for f in features:
+        at = trie
+        for c in re.sub(rb"(.)\1+", rb"\1", folded(f[1:])).decode("latin-1"):
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        if "" in at or not at:
+            return ""
+        return "(?:" + "|".join((f"[{re.escape(c)}{c.upper() if 'a' <= c <= 'z' else ''}*]" if c != "*" else "[*]") + f"[{re.escape(c)}A-Z* ]*{pattern(x)}" for c, x in at.items()) + ")"
+
+    if not trie:
+        return lambda tokens: []
+    found = re.compile(("(?:^|(?<= ))(?=[A-Z* ]*" + pattern(trie) + ")").encode("latin-1")).finditer
+
+    def places(tokens: list[str]) -> list[int]:
+        raw, out, at, n = folded(" ".join(tokens)), [], 0, 0
+        for m in found(raw):
+            n += raw.count(b" ", at, m.start())
+            at = m.start()
+            out.append(n)
+        return out
+
+    return places
+
+
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.table, self.weights, self.cache = model.ravel().tolist(), weights, {}
-        self.may = may_say(weights)
+        self.may, self.places = may_say(weights), may_hold(weights)
 
     def word(self, w: str) -> float:
         return max((self.weights.get(f, 0.0) for r in readings(w, self.table, self.may) for f in features(r)), default=0.0)
 
+    def words(self, text: str | None) -> set[str]:
+        """The words and runs of :func:`words_of` that may have a weight."""
+        tokens = (text or "").lower().split()
+        out, upto = set(), -1
+        for k in self.places(tokens):
+            out.add(tokens[k])
+            if k <= upto or len(tokens[k].strip(_MARKS)) > SHORT:
+                continue
+            first = k  # the run around it
+            while first and len(tokens[first - 1].strip(_MARKS)) <= SHORT:
+                first -= 1
+            upto = k
+            while upto + 1 < len(tokens) and len(tokens[upto + 1].strip(_MARKS)) <= SHORT:
+                upto += 1
+            run = [t for t in (t.strip(_MARKS) for t in tokens[first : upto + 1]) if t]
+            if len(run) > 1:
+                out.add(" ".join(run))
+        return out
+
     def text(self, text: str | None) -> tuple[float, float]:
         """Weight of the worst word, and the logarithm of one and the weights of the others together."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         top = rest = 0.0
         get = self.cache.get
-        for w in words_of(text):
+        for w in self.words(text):
             x = get(w)
             if x is None:
                 x = self.word(w)
@@ -305,7 +389,8 @@ def fit(docs: DataFrame, labels: DataFrame):
 
     Null labels and null doc_ids teach nothing; rows that repeat a doc_id count once, with the smallest
     of its texts and the largest of its labels; null and empty texts have no features; without labels of
-    both kinds every text gets one score.
+    both kinds every text gets one score.  Of documents whose words have the same least hash (copies and
+    most near copies) only one teaches, or their rare words would look like evidence.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -314,7 +399,10 @@ def fit(docs: DataFrame, labels: DataFrame):
     known = labels.where("toxic is not null and doc_id is not null").where(may).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # LABELLED rows of two numbers
-    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    # copies and near copies say no more than one of them: they share the least hash of a word
+    words = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.length(w) > 4), lambda w: F.xxhash64(w))
+    sample = sample.groupBy("toxic", F.coalesce(F.array_min(words), F.xxhash64("doc_id")).alias("least")).agg(F.min_by("text", "doc_id").alias("text")).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, int], int] = {}
