@@ -40,7 +40,7 @@ COUNTED, WIDE = 24, 2.5
 #: Chance that a pair exactly at the threshold shares too few lists, and that it collides too seldom.
 MISS, MISCOUNT = 0.002, 1e-4
 #: Mean length that lists should not exceed; vectors in a chunk of a long one.
-LISTED, CHUNK = 1000, 2048
+LISTED, CHUNK = 2500, 2048
 #: Directions with lists; strongest ones that a vector may be filed under; simulated pairs.
 DIRECTIONS, STRONGEST, PAIRS = (128, 512), 12, 4000
 
