@@ -65,6 +65,14 @@ def knn(vectors: DataFrame, query: list[float], limit: int = 10, where: str | No
     return v.select("id", F.round(F.sqrt(sq), 6).alias("distance")).orderBy("distance", "id").limit(limit)
 
 
+def knn_scored(vectors: DataFrame, query: list[float], limit: int = 10, where: str | None = None) -> DataFrame:
+    """(id, score): ``1 - distance / largest`` over twice as many rows as are asked for, at least .001."""
+    near = knn(vectors, query, 2 * limit, where)
+    top = F.max("distance").over(Window.partitionBy(F.lit(1)))  # 2 * limit rows
+    score = F.greatest(F.round(1 - F.col("distance") / top, 6), F.lit(0.001))
+    return near.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def rrf(lists: dict[str, DataFrame], limit: int = 20) -> DataFrame:
     """(id, score): sum of weight / (60 + rank) over the ranked lists (id, rank)."""
     parts = [df.select("id", (F.lit(WEIGHTS[name]) / (RRF_K + F.col("rank"))).alias("s")) for name, df in lists.items()]

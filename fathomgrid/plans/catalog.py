@@ -114,16 +114,6 @@ def intent_classify(s, d):
     return dt.table(s, d, "conversations").select("conv_id", "turn", tx.intent(F.col("text")).alias("intent"))
 
 
-HYBRID = f"b AS ({_bm25_sql(['the', 'and', 'is'], False)}), {KNN}, v AS (SELECT id, distance FROM k ORDER BY distance, id LIMIT 20), u AS (SELECT id, 0.20::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM b UNION ALL SELECT id, 0.30::DOUBLE / (60 + row_number() OVER (ORDER BY distance, id)) FROM v)"
-
-
-@query(f"WITH {HYBRID} SELECT id, round(sum(s), 9) AS score FROM u GROUP BY id ORDER BY score DESC, id LIMIT 20")
-def hybrid_search(s, d):
-    key = retrieval.ranked(retrieval.bm25(dt.docs(s, d), ["the", "and", "is"]), F.desc("score"), "id")
-    vec = retrieval.ranked(retrieval.knn(dt.vectors(s, d), _probe(s, d), 20), "distance", "id")
-    return retrieval.rrf({"keyword": key, "vector": vec})
-
-
 @query(f"WITH b AS ({_bm25_sql(['the', 'and', 'is'], False)}), p AS (SELECT event_id % 1000 AS id, least(sum(DISTINCT CASE WHEN event_type = 'view' THEN 0.15 WHEN event_type = 'click' THEN 0.35 ELSE 0.60 END), 0.85) AS p FROM events GROUP BY 1) SELECT id, greatest(0.0, round(score - coalesce(p, 0), 6))::DOUBLE AS score FROM b LEFT JOIN p USING (id)")
 def ledger_penalty(s, d):
     kind = F.when(F.col("event_type") == "view", "file").when(F.col("event_type") == "click", "symbol").otherwise("chunk")

@@ -408,9 +408,10 @@ def explain_module(s, d):
     return code.explain_module(FILE, f, y, e)
 
 
-@query("SELECT page_id, path, method, refs FROM (SELECT page_id, regexp_extract(url, '//[^/]+(/[^?]*)', 1) AS path, CASE page_id % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method FROM pages) p JOIN (SELECT href, count(*) AS refs FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) GROUP BY 1) h ON h.href = p.path")
+@query("SELECT page_id, path, method, coalesce(refs, 0) AS refs, CASE WHEN refs IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM (SELECT page_id, regexp_extract(url, '//[^/]+(/[^?]*)', 1) AS path, CASE page_id % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method FROM pages) p LEFT JOIN (SELECT href, count(*) AS refs FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) GROUP BY 1) h ON h.href = p.path")
 def route_endpoints(s, d):
-    """Endpoints that some page refers to; those without a reference are hidden, as unresolved ones are by default."""
+    """Endpoints and how often pages refer to them; unresolved ones are shown too."""
     p = dt.table(s, d, "pages")
     refs = p.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("path")).groupBy("path").agg(F.count("*").alias("refs"))
-    return p.select("page_id", F.regexp_extract("url", "//[^/]+(/[^?]*)", 1).alias("path"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST").alias("method")).join(refs, "path").select("page_id", "path", "method", "refs")
+    e = p.select("page_id", F.regexp_extract("url", "//[^/]+(/[^?]*)", 1).alias("path"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST").alias("method"))
+    return e.join(refs, "path", "left").select("page_id", "path", "method", F.coalesce("refs", F.lit(0)).alias("refs"), F.when(F.col("refs").isNull(), "unresolved").otherwise("resolved").alias("status"))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pathlib import Path
 
-from fathomgrid.plans import catalog, code_queries  # noqa: F401
+from fathomgrid.plans import catalog, code_queries, service_queries  # noqa: F401
 
 
 def rows(df):
