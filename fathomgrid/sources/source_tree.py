@@ -41,9 +41,17 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED["app"] = app
 
 
-def _has(spark: SparkSession, path: str) -> bool:
+def _lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of one small file, none if there is no such file."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 def discover(spark: SparkSession, root: str, more_ignored: tuple[str, ...] = ()) -> DataFrame:
@@ -51,8 +59,7 @@ def discover(spark: SparkSession, root: str, more_ignored: tuple[str, ...] = ())
 
     The root's ``.gitignore``, if there is one, and ``more_ignored`` rule out paths beside the default names.
     """
-    rules = spark.read.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=".gitignore").collect() if _has(spark, f"{root.rstrip('/')}/.gitignore") else []  # one small file
-    more_ignored = (*(line for r in rules for line in r.value.splitlines()), *more_ignored)
+    more_ignored = (*_lines(spark, f"{root.rstrip('/')}/.gitignore"), *more_ignored)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     f = f.withColumn("path", F.regexp_replace("path", r"^.*?" + re.escape(root.strip("/")) + "/", ""))
     f = f.where((F.col("length") <= MAX_BYTES) & ~ignored(F.col("path"), more_ignored) & (F.position(F.lit(b"\x00"), F.substring("content", 1, 8192)) == 0))
