@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,3 +139,31 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
     return cur.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well mixed."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word of a text, words parting at ASCII white space: eight bytes of all words at once."""
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    length = end - start
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    h = mixed((eight[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    k, longer = 8, np.flatnonzero(length > 8)
+    while len(longer):
+        h[longer] = mixed(h[longer] ^ (eight[start[longer] + k] & _MASK[np.minimum(length[longer] - k, 8)]))
+        k += 8
+        longer = longer[length[longer] > k]
+    return start, h

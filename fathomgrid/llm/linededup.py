@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, aside, tune
+from .common import Workspace, aside, mixed, tune, word_hashes
 
 SIMILARITY, LEAST_WORDS = 0.8, 1
 #: Slots of the table of word counts, and slots of a part of it.
@@ -43,35 +43,14 @@ ENTRY, BUCKET, TASK, GATHERED = 52, 8 << 20, 64 << 20, 24 << 20
 #: Ids of lines to verify up to which they are broadcast (some MB).
 BROADCAST_IDS = 250_000
 _LEFT = "word long, shape long, bits long, more_bits long, id long, place long, b long, asks boolean"
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Bytes of text hashed at a time: bounds memory for lines of any length.
 CHUNK = 1 << 22
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every word, eight bytes of all words at once."""
+    """(line, hash) of every word."""
     raw = "\n".join(lines).lower().encode("utf-8", "replace")
-    space = np.ones(len(raw) + 2, bool)
-    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
-    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    length = end - start
-    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
-    h = mixed((eight[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    k, longer = 8, np.flatnonzero(length > 8)
-    while len(longer):
-        h[longer] = mixed(h[longer] ^ (eight[start[longer] + k] & _MASK[np.minimum(length[longer] - k, 8)]))
-        k += 8
-        longer = longer[length[longer] > k]
+    start, h = word_hashes(raw)
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     return np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate([[0], np.searchsorted(start, breaks), [len(start)]]))), h
 
@@ -130,12 +109,13 @@ def _counts(similarity: float):
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices' sums as :func:`rank`, and the sum of the numbers of entries."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, n in zip(b.column(0).to_pylist(), b.column(1)):
-            n = np.frombuffer(n.as_py(), np.int64 if k < 0 else np.uint32).astype(np.int64)
+            n = np.frombuffer(n.as_buffer(), np.int64 if k < 0 else np.uint32).astype(np.int64)
             total[k] = total[k] + n if k in total else n
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x if k < 0 else rank(x)).tobytes() for k, x in total.items()], pa.binary())], ["slice", "n"])
 
 
 def rank(counts: np.ndarray) -> np.ndarray:
@@ -372,15 +352,14 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     place, doc_id, line = _place(docs)
     first = exploded(docs).groupBy("text").agg(F.min(place).alias("place")).select("text", doc_id.alias("doc_id"), line.alias("line"), *_name())
     lines = ws.save(first.withColumn("id", F.monotonically_increasing_id()), "first")
-    parts = lines.select("text").mapInArrow(_counts(similarity), "slice int, n binary").repartition("slice").mapInArrow(_added, "slice int, n binary").collect()  # SLOTS numbers
-    counts, entries = np.zeros(SLOTS, np.int64), 0
-    for r in parts:
-        n = np.frombuffer(r.n, np.int64)
-        if r.slice < 0:
-            entries = int(n[0])
+    parts = lines.select("text").mapInArrow(_counts(similarity), "slice int, n binary").repartition("slice").mapInArrow(_added, "slice int, n binary").toArrow()  # SLOTS bytes
+    steps, entries = np.zeros(SLOTS, np.uint8), 0
+    for k, n in zip(parts["slice"].to_pylist(), parts["n"]):
+        if k < 0:
+            entries = int(np.frombuffer(n.as_buffer(), np.int64)[0])
         else:
-            counts[r.slice * SLICE : (r.slice + 1) * SLICE] = n
-    rarity = spark.sparkContext.broadcast(rank(counts))
+            steps[k * SLICE : (k + 1) * SLICE] = np.frombuffer(n.as_buffer(), np.uint8)
+    rarity = spark.sparkContext.broadcast(steps)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ENTRY * entries // TASK + 1)
     buckets = max(8 * tasks, ENTRY * entries // BUCKET + 1)
     rows = lines.select("id", "doc_id", "line", "text").mapInArrow(_listed(rarity, similarity, least_words, buckets), "bucket int, data binary")

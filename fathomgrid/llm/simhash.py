@@ -25,16 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grayindex
-from .common import Workspace, aside, connected_components, tune
+from .common import Workspace, aside, connected_components, tune, word_hashes
 
 SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles hashed at a time: bounds memory for texts of any length.
 CHUNK = 1 << 15
+#: Hashes whose bits are laid out at a time.
+ROUND = 2040
 #: Rows after which a task indexes the block values that it has whole.
 ROWS = 200_000
 #: Tables whose places are dealt out together, and pairs whose whole fingerprints are compared together.
 TABLES, PAIRS = 4, 1 << 16
+#: Pairs for each row of a key up to which all of them are candidates at once.
+FEW = 4
 
 
 def shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -75,17 +79,28 @@ def fingerprint(text: str | None, size: int, words: int = 1) -> np.ndarray:
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The hashes of the text's shingles, each once, in order."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, size)]))
+    """64-bit hashes of the text's shingles, each once, in order: as :func:`shingles` parts them, by a faster hash."""
+    _, h = word_hashes((text or "").encode("utf-8", "replace").translate(_LOWER))
+    if len(h) < size:
+        size = max(1, len(h))
+    n = len(h) - size + 1
+    out = np.full(max(0, n), size, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+        out ^= out >> np.uint64(29)
+    return np.unique(_spread(out, 1))
 
 
 def _sketch(chunks: Iterable[np.ndarray], words: int) -> np.ndarray:
     ones, n = np.zeros(64 * words, np.int64), 0
     for h in chunks:
         n += len(h)
-        for w in range(words):
-            bits = np.unpackbits(_spread(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[64 * w : 64 * w + 64] += np.add.reduce(bits, axis=0, dtype=np.uint32)
+        for k in range(0, len(h), ROUND):
+            some = h[k : k + ROUND]
+            wide = np.stack([_spread(some, w) for w in range(words)], axis=1)
+            bits = np.unpackbits(wide.view(np.uint8).reshape(len(some), 8 * words), axis=1, bitorder="little")
+            for j in range(0, len(some), 255):  # so many ones fit a byte
+                ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
@@ -258,8 +273,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _candidates(words: int, radius: int, most: int, every: bool):
-    """Pairs (a, b) of nodes of other groups that share a key and are near: all of them with ``every``,
-    else the nearest that hold them together."""
+    """Pairs (a, b) of nodes of other groups that share a key and are near: all of them with ``every``.
+
+    Else all pairs of a key that has few of them (``FEW`` for each row at most); of a crowded key the nearest
+    pairs that hold its nodes together, and a row (key, null): it has to be looked at again.
+    """
 
     def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, count = np.unique(keys, return_counts=True)
@@ -274,7 +292,8 @@ def _candidates(words: int, radius: int, most: int, every: bool):
             order = np.argsort(grayindex.gray_rank(code), kind="stable")
             at, code = at[order], code[order]
             mine, node, group = fps[at], ids[at, 0], ids[at, 1]
-            best = np.zeros((3, 0), np.int64)
+            key, of, rows = np.unique(keys[at], return_inverse=True, return_counts=True)
+            pairs, best = np.zeros(len(key), np.int64), np.zeros((3, 0), np.int64)
             for i, j in grayindex.GrayIndex(code).pairs(radius, np.uint64(0xFFFFFFFF ^ ((1 << (32 - bits)) - 1))):
                 other = group[i] != group[j]
                 i, j = i[other], j[other]
@@ -282,14 +301,22 @@ def _candidates(words: int, radius: int, most: int, every: bool):
                     u, v = i[k : k + PAIRS], j[k : k + PAIRS]
                     far = np.bitwise_count(mine[u] ^ mine[v]).sum(axis=1, dtype=np.int64)
                     near = far <= most
-                    found = np.stack([far[near], u[near], v[near]])
-                    if every:
-                        yield _pair_batch(node[found[1]], node[found[2]])
-                    elif found.size:
-                        best = np.concatenate([best, found], axis=1)
-                        best = best[:, np.argsort(best[0], kind="stable")]
-                        best = best[:, np.sort(_forest(len(at), best[1], best[2]))]
+                    far, u, v = far[near], u[near], v[near]
+                    if not len(u):
+                        continue
+                    if not every:
+                        pairs += np.bincount(of[u], minlength=len(key))
+                        crowded = (pairs > FEW * rows)[of[u]]
+                        if crowded.any():
+                            best = np.concatenate([best, np.stack([far[crowded], u[crowded], v[crowded]])], axis=1)
+                            best = best[:, np.argsort(best[0], kind="stable")]
+                            best = best[:, np.sort(_forest(len(at), best[1], best[2]))]
+                            u, v = u[~crowded], v[~crowded]
+                    yield _pair_batch(node[u], node[v])
             yield _pair_batch(node[best[1]], node[best[2]])
+            again = key[pairs > FEW * rows] if not every else key[:0]
+            if len(again):
+                yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, fps = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, words), np.uint64)
@@ -350,9 +377,9 @@ def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int
     of the ``2 * words`` tables of 32 bits and in at most ``most`` bits in all: with the defaults a
     pair at 0.8 differs in 116 bits on average (deviation 10) and meets with probability 0.999.
 
-    First the nearest pairs that hold candidates together are counted, then every candidate pair
-    whose ends are still in two groups: a large group of near copies is one group by then, and only
-    pairs that have to be told apart are left.
+    A key with few candidate pairs has all of them counted; of a crowded one first the nearest pairs that
+    hold its nodes together, and then every pair whose ends are still in two groups: a large group of
+    near copies is one group by then, and only pairs that have to be told apart are left.
     Rows are treated as in :func:`near_groups`.
     """
     spark = docs.sparkSession
@@ -360,15 +387,19 @@ def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int
     ws = Workspace(spark, name)
     rows = ws.save(_set_rows(docs, size, words), "rows")
     distinct = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.min("fp").alias("fp")), "distinct")
-    group, links = distinct.select("node", F.col("node").alias("grp"), "fp"), None
+    group, links, again = distinct.select("node", F.col("node").alias("grp"), "fp"), None, None
     for step, every in (("near", False), ("all", True)):
         found = None
         for k in range(0, 2 * words, TABLES):  # some tables at a time: their shuffle files go in between
-            tune(spark)
-            placed = group.mapInArrow(_set_places(range(k, min(k + TABLES, 2 * words)), radius), "key long, node long, grp long, fp binary").repartition("key").sortWithinPartitions("key")
+            placed = group.mapInArrow(_set_places(range(k, min(k + TABLES, 2 * words)), radius), "key long, node long, grp long, fp binary")
+            if every:
+                placed = placed.join(again, "key", "left_semi")
+            placed = placed.repartition("key").sortWithinPartitions("key")
             some = ws.save(placed.mapInArrow(_candidates(words, radius, most, every), "a long, b long").distinct(), f"{step}-{k}")
             found = some if found is None else found.unionByName(some)
-        found = found.distinct()
+        if not every:
+            again = ws.save(found.where("b is null").select(F.col("a").alias("key")), "again")
+        found = found.where("b is not null").distinct()
         if links is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         tried = ws.save(found, f"{step}-pairs")
@@ -376,6 +407,8 @@ def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int
         links = good if links is None else links.unionByName(good)
         cc = ws.save(connected_components(ws, links, f"{step}-steps"), f"{step}-cc")
         group = ws.save(distinct.join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "fp"), f"{step}-groups")
+        if again.isEmpty():
+            break
     named = distinct.select("node", "low").join(group.select("node", "grp"), "node")
     least_id = named.groupBy("grp").agg(F.min("low").alias("component_id"))
     named = ws.save(named.join(least_id, "grp").select("node", "component_id"), "named")

@@ -88,8 +88,8 @@ def character_model(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
 
     n = np.zeros(64**3)
-    for r in docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most 64 ** 3 rows
-        n[r.gram] = r.n
+    got = docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 64 ** 3 rows
+    n[got["gram"].to_numpy()] = got["n"].to_numpy()
     n = n.reshape(64, 64, 64)
     two = (n.sum(axis=0) + 0.5) / (n.sum(axis=0) + 0.5).sum(axis=1, keepdims=True)
     return np.log((n + 4 * two[None]) / (n.sum(axis=2, keepdims=True) + 4)).astype(np.float32)
