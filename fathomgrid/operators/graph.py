@@ -27,11 +27,27 @@ def directed(edges: DataFrame, direction: str = "out", types: list[str] | None =
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
 
+#: Hops up to which a search is one plan; beyond, each hop is a job that ends the lineage.
+SHORT = 3
+
+
 def bfs(edges: DataFrame, seeds: list[str], hops: int, direction: str = "out", types: list[str] | None = None, floor: float = 0.0) -> DataFrame:
-    """(node, distance) of every node but the seeds within ``hops``: a frontier with a visited anti-join."""
+    """(node, distance) of every node but the seeds within ``hops``.
+
+    A few hops are one plan of joins, each level distinct; more are a frontier with a visited anti-join,
+    hop by hop.
+    """
     spark = edges.sparkSession
     e = directed(edges, direction, types, floor)
-    seen = front = spark.createDataFrame([(s, 0) for s in seeds], "node string, distance int")
+    start = spark.createDataFrame([(s, 0) for s in seeds], "node string, distance int")
+    if hops <= SHORT:
+        level, every = start, start
+        for d in range(1, hops + 1):
+            level = level.select("node").join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(d))
+            every = every.unionByName(level)
+        return every.groupBy("node").agg(F.min("distance").alias("distance")).where("distance > 0")
+    seen = front = start
+    e = cut(e)
     for d in range(1, hops + 1):
         step = front.join(e, front.node == e.src).select(F.col("dst").alias("node"), F.lit(d).alias("distance")).distinct()
         front = cut(step.join(seen, "node", "left_anti"))

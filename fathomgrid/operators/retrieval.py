@@ -43,14 +43,6 @@ def bm25(docs: DataFrame, terms: list[str], every: bool = False, limit: int = 20
     return s.select("id", F.round(total, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def strict_then_relaxed(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(id, rank): strict hits first, then relaxed ones that are new."""
-    strict = bm25(docs, query_terms(query), True, limit).withColumn("tier", F.lit(0))
-    loose = bm25(docs, query_terms(query, True), False, limit).withColumn("tier", F.lit(1))
-    best = strict.unionByName(loose).groupBy("id").agg(F.min(F.struct("tier", -F.col("score"))).alias("k"))
-    return ranked(best.select("id", "k").orderBy("k", "id").limit(limit), "k", "id")
-
-
 def ranked(df: DataFrame, *order) -> DataFrame:
     """(id, rank) of an already limited result."""
     return df.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))

@@ -182,11 +182,13 @@ def invariant_duplicate_keys(s, d):
     return dt.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("item")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("WITH m AS (SELECT n_regionkey AS community, n_nationkey AS node FROM nation), e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer, supplier WHERE c_custkey % 50 = s_suppkey % 50), n AS (SELECT community, count(*) AS n FROM m GROUP BY 1), i AS (SELECT x.community, count(*) AS k FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b WHERE x.community = y.community GROUP BY 1) SELECT community, n, round(2.0::DOUBLE * coalesce(k, 0) / (n * n), 6) AS cohesion FROM n LEFT JOIN i USING (community)")
+@query("WITH m AS (SELECT n_regionkey AS community, n_nationkey AS node FROM nation), e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT community, count(*) AS n FROM m GROUP BY 1), i AS (SELECT x.community, count(*) AS k FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b WHERE x.community = y.community GROUP BY 1) SELECT community, n, round(2.0::DOUBLE * coalesce(k, 0) / (n * n), 6) AS cohesion FROM n LEFT JOIN i USING (community)")
 def cohesion(s, d):
-    c, p = dt.table(s, d, "customer"), dt.table(s, d, "supplier")
-    e = c.join(p, F.col("c_custkey") % 50 == F.col("s_suppkey") % 50).select(F.col("c_nationkey").alias("from_id"), F.col("s_nationkey").alias("to_id"))
-    return graph.cohesion(e, dt.table(s, d, "nation").select(F.col("n_regionkey").alias("community"), F.col("n_nationkey").alias("node")))
+    """Nations trade with each other: one edge for every pair of a customer's and a supplier's nation in some order line."""
+    t = lambda n, *c: dt.table(s, d, n).select(*c)
+    e = t("lineitem", "l_orderkey", "l_suppkey").join(t("orders", F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(t("customer", F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("from_id")), "o_custkey")
+    e = e.join(t("supplier", F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("to_id")), "l_suppkey").select("from_id", "to_id").distinct()
+    return graph.cohesion(e, t("nation", F.col("n_regionkey").alias("community"), F.col("n_nationkey").alias("node")))
 
 
 @query("SELECT word, n, rk AS rank FROM (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS rk FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE length(word) >= 3 GROUP BY word) WHERE rk <= 5")

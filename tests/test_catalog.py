@@ -24,3 +24,18 @@ def test_query_equals_sql(spark, sf, duck, name):
     got, want = catalog.QUERIES[name](spark, sf).toPandas(), duck.sql(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.fixture(scope="module")
+def nothing(sf, tmp_path_factory):
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.mktemp("nothing")
+    for p in Path(sf).glob("*.parquet"):
+        pq.write_table(pq.read_schema(p).empty_table(), folder / p.name)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_empty_tables_do_no_harm(spark, nothing, name):
+    assert catalog.QUERIES[name](spark, nothing).count() <= 20
