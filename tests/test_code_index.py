@@ -219,3 +219,32 @@ def test_wiki(spark):
     e = spark.createDataFrame([("f1", "f2", "IMPORTS")], "from_id string, to_id string, type string")
     d = json.loads(store.wiki(f, f, e).first().document)
     assert d["files"] == 2 and d["imported"] == [{"path": "b.py", "n": 1}] and d["languages"][0]["language"] == "python"
+
+
+TS = """import { b } from './b.js';
+export * from './c.js';
+export { x as y, z } from './d.js';
+export class Car extends Base implements Runs, Stops {
+  go() { this.start(); helper(); }
+}
+const car = new Car();
+car.go();
+router.post('/api/users', handler);
+fetch('/api/users', { method: 'POST' });
+"""
+PY = """from fastapi import FastAPI
+class A(B):
+    pass
+@app.get("/items")
+def items():
+    a = A()
+    return a.run()
+"""
+
+
+def test_facts_of_a_file():
+    ts = {x[:3] for x in source_tree.parse("a.ts", "typescript", TS)}
+    assert {("import", "module", "./b.js"), ("export", "./c.js", "*"), ("export", "./d.js", "y"), ("export", "./d.js", "z"), ("export", "", "Car"), ("symbol", "class", "Car"), ("extends", "Car", "Base"), ("implements", "Car", "Runs"), ("implements", "Car", "Stops"), ("call", "this", "start"), ("call", "", "helper"), ("call", "new", "Car"), ("call", "car", "go"), ("binding", "Car", "car"), ("route", "POST", "/api/users"), ("route_reference", "POST", "/api/users")} <= ts
+    py = {x[:3] for x in source_tree.parse("a.py", "python", PY)}
+    assert {("extends", "A", "B"), ("route", "GET", "/items"), ("binding", "A", "a"), ("call", "a", "run"), ("symbol", "function", "items")} <= py
+    assert source_tree.parse("a.py", "python", "def (") == []
