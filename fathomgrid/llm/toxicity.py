@@ -28,6 +28,8 @@ from .common import tune
 LABELLED = 30_000
 #: Documents a feature must be toxic in at least, and its least log-likelihood ratio.
 SEEN, RATIO = 2, 2.0
+#: Largest log-odds of a text that says nothing toxic: it is never rejected, however many labels are toxic.
+SILENT = -0.1
 #: Letters and signs of a token that may be part of a word set apart by spaces: two parts of a word of
 #: five letters are always this short.
 SHORT = 4
@@ -450,9 +452,10 @@ def fit(docs: DataFrame, labels: DataFrame):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([a for _, a in x], pa.float64())], ["y", "a", "b"])
 
     if not bad or not good:
-        return model, weights, np.array([-4.0 if not bad else 4.0, 0.0, 0.0])
+        return model, weights, np.array([-4.0 if not bad else SILENT, 0.0, 0.0])
     p = sample.withColumn("toxic", (F.col("toxic") > 0).cast("int")).mapInArrow(points, "y int, a double, b double").toPandas()  # at most LABELLED rows
-    return model, weights, fit_logistic(p[["a", "b"]].to_numpy(), p["y"].to_numpy(dtype=float))
+    line = fit_logistic(p[["a", "b"]].to_numpy(), p["y"].to_numpy(dtype=float))
+    return model, weights, np.array([min(line[0], SILENT), *line[1:]])
 
 
 def score(docs: DataFrame, fitted, keep: bool = False) -> DataFrame:
@@ -491,6 +494,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic.
 
     Null, empty and blank texts say nothing toxic and stay; repeated rows stay or go together; an empty
-    table gives no rows; other columns pass through, whatever their names.
+    table gives no rows; other columns pass through, whatever their names.  A text without any weighted
+    word stays, whatever the share of toxic labels.
     """
     return score(docs, fit(docs, labels), keep=True)
