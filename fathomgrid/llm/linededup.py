@@ -201,9 +201,11 @@ def unpacked(blocks: list[bytes]) -> list[np.ndarray]:
         out.append(cols)
     cols = [np.concatenate(c) for c in zip(*out)]
     # most lists have one entry: these fall away before the rest is ordered
-    _, of, n = np.unique(cols[0], return_inverse=True, return_counts=True)
-    cols = [c[n[of] > 1] for c in cols]
-    order = np.lexsort((cols[3], cols[5], cols[4], cols[0]))
+    order = np.argsort(cols[0])
+    same = np.diff(cols[0][order]) == 0
+    order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    some = [cols[k][order] for k in (3, 5, 4, 0)]
+    order = order[np.lexsort(some)]
     return [c[order] for c in cols]
 
 
