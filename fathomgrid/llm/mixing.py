@@ -22,6 +22,8 @@ MAX_EPOCHS = 3.0
 SEED = "1"
 #: Sources up to which the per-source table is broadcast (at most some MB); beyond, Spark joins it by key.
 BROADCAST_SOURCES = 50_000
+#: Rows of a source that the bucket at its cut should hold: buckets grow finer with the table.
+ROWS = 100_000
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -65,7 +67,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     ws = Workspace(docs.sparkSession, name)
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = ws.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sizes")
-    bucket = F.substring("h", 1, 3)
+    n, digits = rows.count(), 3
+    while 16**digits * ROWS < n and digits < 8:
+        digits += 1
+    bucket = F.substring("h", 1, digits)
     buckets = ws.save(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n")), "buckets")
     targets = ws.save(water_fill(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs), "targets")
     n = targets.count()
@@ -101,7 +106,9 @@ def take(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: ``docs`` with every row as often as the mix takes it.
 
     The document at a source's cut comes once more with its first words only (and ``n_chars``, where
-    there is such a column, follows); everything else is a whole copy.
+    there is such a column, follows); everything else is a whole copy.  Null texts, texts without words and
+    documents that the mix takes no word of are left out; repeated rows come each as often as one of them;
+    other columns pass through, whatever their names; an empty table gives no rows.
     """
     m = mix(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id", "source", "size").agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
     m = m.where("whole > 0 or part > 0")

@@ -47,7 +47,12 @@ def tables(folder, rows, clash=False):
     if rows:
         ids[-2] = 3  # a repeated row
         v, ids = [*v, v[0], None], [*ids, None, None]
-    save(folder, "embeddings", {"vec_id": ids, "embedding": v, "label": [1] * len(v)}, {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32()})
+    columns, kinds = {"vec_id": ids, "embedding": v, "label": [1] * len(v)}, {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32()}
+    if clash:
+        more = (*CLASHING, "v", "cell", "dim", "cid", "n_links", "asks", "least", "block", "rank", "query_id")
+        columns |= {c: ["clash"] * len(v) for c in more}
+        kinds |= {c: pa.string() for c in more}
+    save(folder, "embeddings", columns, kinds)
     return str(folder)
 
 

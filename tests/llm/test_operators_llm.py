@@ -41,6 +41,12 @@ def test_extra_columns_change_nothing_and_each_row_counts(spark, awkward, clashi
     assert Counter(r["doc_id"] for r in one) == Counter(r[0] for r in rows)
 
 
+@pytest.mark.parametrize("name", UNRESTRICTED)
+def test_extra_columns_of_vectors_change_nothing(spark, awkward, clashing, name):
+    one, two = run(spark, name, awkward), run(spark, name, clashing)
+    assert sorted(map(key, one)) == sorted(map(key, two)) and one
+
+
 def sets(nodes, links):
     up = {n: n for n in nodes}
 
