@@ -26,8 +26,9 @@ from .common import tune
 
 #: Labelled rows that the classifier is fitted on (those with the smallest hashes of doc_id).
 LABELLED = 30_000
-#: Documents a feature must be toxic in at least, and its least log-likelihood ratio.
-SEEN, RATIO = 2, 2.0
+#: Documents a feature must be toxic in at least, its least log-likelihood ratio, and its least evidence in
+#: logarithms of the number n of features tried: at 1.4 the chance of any false one is about n ** -0.4.
+SEEN, RATIO, SURE = 2, 2.0, 1.4
 #: Largest log-odds of a text that says nothing toxic: it is never rejected, however many labels are toxic.
 SILENT = -0.1
 #: Letters and signs of a token that may be part of a word set apart by spaces: two parts of a word of
@@ -403,7 +404,8 @@ def fit(docs: DataFrame, labels: DataFrame):
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # LABELLED rows of two numbers
     sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     # copies and near copies say no more than one of them: they share the least hash of a word
-    words = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.length(w) > 4), lambda w: F.xxhash64(w))
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\s]+", "")
+    words = F.transform(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 4), lambda w: F.xxhash64(w))
     sample = sample.groupBy("toxic", F.coalesce(F.array_min(words), F.xxhash64("doc_id")).alias("least")).agg(F.min_by("text", "doc_id").alias("text")).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +440,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     got = got.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     got = got.where(f"f = '' or (bad >= {SEEN} and bad > good)").collect()  # bounded by the labelled rows
     bad, good = next(((r.bad, r.good) for r in got if r.f == ""), (0, 0))
-    weights, evidence = {}, math.log(max(1, len(got)))  # so many nats leave about one feature to chance
+    weights, evidence = {}, SURE * math.log(max(1, len(got)))
     for r in got:
         if r.f and bad and good:
             ratio = math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1))
