@@ -107,6 +107,11 @@ def reshard(docs: DataFrame, capacity: list[int], old_shards: int | None = None,
     that shard too large: there is no other whole answer).  Repeated rows get slots of their own; slots
     of a shard are gapless from 0.  Columns of these names give way; an empty table gives no rows.
     """
+    return _resharded(docs, capacity, old_shards, shard, name)[1]
+
+
+def _resharded(docs: DataFrame, capacity: list[int], old_shards: int | None, shard: str | None, name: str) -> tuple[Workspace, DataFrame]:
+    """The rows of :func:`reshard`, and the workspace that they are read from."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, name)
     old = old_shards or len(capacity)
     d, of = aside(docs)
@@ -131,7 +136,7 @@ def reshard(docs: DataFrame, capacity: list[int], old_shards: int | None = None,
     new = ["size", "text_crc32", "old_shard", "block", "shard", "slot"]
     kept = [c for c in docs.columns if c not in new]
     out = base.withColumn("k", order - 1).join(places, key).withColumn("slot", F.col("first") + F.col("k"))
-    return out.select(*[of[c] for c in kept], *new).toDF(*kept, *new)
+    return ws, out.select(*[of[c] for c in kept], *new).toDF(*kept, *new)
 
 
 def affected(placed: DataFrame) -> DataFrame:
@@ -160,7 +165,9 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     Rows of rewritten shards are read back from their files, the others (if any) lie where they were.
     """
     ws = Workspace(docs.sparkSession, "shard-files")
-    placed = ws.save(reshard(docs.select("doc_id", "text"), [1] * shards), "placed")
+    rows, placed = _resharded(docs.select("doc_id", "text"), [1] * shards, None, None, "shards")
+    placed = ws.save(placed, "placed")
+    rows.drop()
     written = rewrite(placed, ws.path("files"))
     out = placed.where(~F.col("shard").isin(written)).select("doc_id", "size", "text_crc32", "text", "slot", "shard")
     if written:
