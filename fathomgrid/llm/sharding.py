@@ -22,7 +22,7 @@ BLOCKS = 512
 #: Rows of a part of a block that slots are counted in: a block of very many equal texts is many tasks.
 ROWS = 100_000
 #: Slots of a written file.
-FILE = 1 << 16
+FILE = 1 << 14
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> list[list[int]]:
