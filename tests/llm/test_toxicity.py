@@ -59,3 +59,16 @@ def test_ruled_out_decodings_say_nothing(table):
         assert every == some, word
         hits += bool(every)
     assert hits > 1000
+
+
+def test_tokens_that_are_passed_over_weigh_nothing(table):
+    weights = {f: 1.0 + len(f) for w in ("moron", "idiot", "clown", "scum", "ass", "réeux") for f in toxicity.features(w)}
+    model = np.array(table, np.float32).reshape(64, 64, 64)
+    one, every, r, hits = toxicity.Scorer(model, weights), toxicity.Scorer(model, weights), random.Random(11), 0
+    every.words = toxicity.words_of
+    pieces = ["moron", "m0r0n", "m o r o n", "i d ! o t", "!diot", "(lown", "s.c.u.m", "a$$", "stone", "river", "it", "on", "a", "as", "the", "mo", "ron", "€", "…", "“idiot”", "clo wn", "réeux", "r é e u x", "7", "?", "m?oron", "œuvre", " ", "- -", "c|own", "MORON", "ſcum"]
+    for _ in range(1500):
+        text = r.choice([" ", "  ", "\n"]).join(r.choice(pieces) for _ in range(r.randrange(12)))
+        assert one.text(text) == every.text(text), text
+        hits += one.text(text) != (0.0, 0.0)
+    assert hits > 500
