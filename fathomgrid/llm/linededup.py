@@ -352,7 +352,7 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     tune(spark)
     ws = Workspace(spark, name)
     place, doc_id, line = _place(docs)
-    first = exploded(docs).groupBy("text").agg(F.min(place).alias("place")).select("text", doc_id.alias("doc_id"), line.alias("line"), *_name())
+    first = exploded(docs).groupBy("text").agg(F.min(place).alias("place"), F.count("*").alias("times")).select("text", doc_id.alias("doc_id"), line.alias("line"), "times", *_name())
     lines = ws.save(first.withColumn("id", F.monotonically_increasing_id()), "first")
     parts = lines.select("text").mapInArrow(_counts(similarity), "slice int, n binary").repartition("slice").mapInArrow(_added, "slice int, n binary").toArrow()  # SLOTS bytes
     steps, entries = np.zeros(SLOTS, np.uint8), 0
@@ -375,10 +375,13 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         near = pairs.join(x, "a").join(y, "b").select("a", "x", "y")
         hit = ws.save(near.mapInArrow(_verified(similarity), "a long").distinct(), f"hit-{step}")
         hits = hit if hits is None else hits.unionByName(hit)
-        left = out.where("b is null").drop("b").join(hit.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left")
-        rows = left.select("word", "shape", "bits", "more_bits", "id", "place", (F.col("asks") & F.col("ok").isNull()).alias("asks"))
-        if rows.where("asks").isEmpty():
+        # only lists in which some line still asks go on; lines that have gone ask no more
+        late, left = hit.select(F.col("a").alias("id")), out.where("b is null").drop("b")
+        open_ = ws.save(left.where("asks").select("word", "id").join(late, "id", "left_anti").select("word").distinct(), f"open-{step}")
+        if open_.isEmpty():
             break
+        left = left.join(open_.hint("shuffle_hash"), "word", "left_semi").join(late.withColumn("late", F.lit(True)), "id", "left")
+        rows = left.select("word", "shape", "bits", "more_bits", "id", "place", (F.col("asks") & F.col("late").isNull()).alias("asks"))
         if step:
             ws.drop(f"pairs-{step - 1}")
         ws.drop(f"unique-{step}")
@@ -387,8 +390,10 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         found = rows.mapInArrow(_later_round(similarity, skip, tries), _LEFT)
     for k in (step - 1, step):
         ws.drop(f"pairs-{k}")
-    state = lines.select("id", "h", "g", F.struct("doc_id", "line").alias("at")).join(hits.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late")), "id", "left").drop("id")
-    gone = exploded(docs).select(*_name(), "doc_id", "line").join(state, ["h", "g"]).where((F.struct("doc_id", "line") > F.col("at")) | F.coalesce("late", F.lit(False)))
+    # texts that occur again or have an earlier partner: of all others every line stays
+    late = hits.distinct().select(F.col("a").alias("id"), F.lit(True).alias("late"))
+    state = lines.select("id", "h", "g", "times", F.struct("doc_id", "line").alias("at")).join(late, "id", "left").where("times > 1 or late").drop("id", "times")
+    gone = exploded(docs).select(*_name(), "doc_id", "line").join(state.hint("shuffle_hash"), ["h", "g"]).where((F.struct("doc_id", "line") > F.col("at")) | F.coalesce("late", F.lit(False)))
     gone = ws.save(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop")), "gone")
     ws.drop("first")
     rarity.unpersist()
