@@ -118,6 +118,8 @@ def search(keyword: DataFrame | None, vector: DataFrame | None, edges: DataFrame
     lists = {n: d for n, d in (("keyword", keyword), ("vector", vector)) if d is not None and mode in ("hybrid", "graph", n)}
     if not lists:
         raise ValueError(f"nothing to search by {mode}")
+    # a list is read more than once: its rows, OVER * MOST at most, come once and are put back as they are
+    lists = {n: d.sparkSession.createDataFrame(d.where(F.col("rank") <= OVER[n] * MOST).collect(), d.schema) for n, d in lists.items()}
     if mode in ("hybrid", "graph") and edges is not None:
         seeds = list(dict.fromkeys(r.id for d in lists.values() for r in d.where(F.col("rank") <= SEEDS).orderBy("rank").collect()))  # at most 2 * SEEDS rows
         kind = next(iter(lists.values())).schema["id"].dataType
