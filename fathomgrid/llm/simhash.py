@@ -10,8 +10,9 @@ members.  Components of the links then come from :func:`fathomgrid.llm.common.co
 With ``words > 1`` a fingerprint has that many 64-bit words, cut into 32-bit tables; codes that meet
 in any table are checked against the whole fingerprint (``most`` differing bits).
 
-:func:`similar_groups` takes such pairs as candidates only: a pair links if the Jaccard similarity of
-its shingle sets, counted exactly, is high enough.
+:func:`similar_groups` links a pair if the Jaccard similarity of its shingle sets, counted exactly, is
+high enough.  Its sets meet where a band of least hashes is equal: a block of a fingerprint has so few
+values that the sets that share one, and with them the time for each set, grow with the table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grayindex
-from .common import Workspace, aside, connected_components, tune, word_hashes
+from .common import Workspace, aside, connected_components, mixed, tune, word_hashes
 
 SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -35,10 +36,12 @@ CHUNK = 1 << 15
 ROUND = 2040
 #: Rows after which a task indexes the block values that it has whole.
 ROWS = 200_000
-#: Tables whose places are dealt out together, and pairs whose whole fingerprints are compared together.
-TABLES, PAIRS = 4, 1 << 16
-#: Pairs for each row of a key up to which all of them are candidates at once.
-FEW = 4
+#: Bands whose places are dealt out together, and pairs whose marks are compared together.
+TOGETHER, PAIRS = 12, 1 << 16
+#: Followers in a key that a set is compared with at first: all there are in a key of one more set.
+NEXT = 9
+#: Shingles whose least hashes are taken at a time: the numbers stay in a processor's cache.
+LEAST = 128
 
 
 def shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -226,35 +229,73 @@ def _hex(col: str) -> F.Column:
     return F.lower(F.concat(*[F.hex(F.substring(col, k, 1)) for k in range(8, 0, -1)]))
 
 
-def _set_rows(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """(doc_id, th, node, fp): hash of the text, hash of its shingle set, fingerprint of that set."""
+def _least_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of the set's numbers under each of ``n`` hashes; two sets agree in one with the chance of their Jaccard similarity."""
+    odd, turn = (mixed(np.arange(k, k + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (1, 1 << 32))
+    odd, low = odd | np.uint64(1), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(0, len(h), LEAST):
+        x = h[k : k + LEAST, None] ^ turn
+        x *= odd
+        np.minimum(low, x.min(axis=0), out=low)
+    return low
+
+
+def _set_rows(docs: DataFrame, size: int, bands: int, width: int) -> DataFrame:
+    """(doc_id, th, node, sketch): hash of the text, hash of its shingle set, and of that set's least hashes
+    a 64-bit key for each band, whose last byte is the band's number, and a byte as a mark for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, fp = [], []
+            node, low = [], []
             for t in b.column(2).to_pylist():
                 h = shingle_set(t, size)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                fp.append(_sketch((h[k : k + CHUNK] for k in range(0, len(h), CHUNK)), words).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp, pa.binary())], ["doc_id", "th", "node", "fp"])
+                low.append(_least_hashes(h, bands * width))
+            low = mixed(np.array(low, np.uint64).reshape(len(b), bands, width))
+            key = low[:, :, 0]
+            for k in range(1, width):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, k])
+            key = key << np.uint64(8) | np.arange(bands, dtype=np.uint64)
+            marks = (low & np.uint64(255)).astype(np.uint8).reshape(len(b), bands * width)
+            sketch = [k.tobytes() + m.tobytes() for k, m in zip(key, marks)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "th", "node", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node long, fp binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node long, sketch binary")
 
 
-def _set_places(tables: range, radius: int):
-    """Each (node, group, fp) once per block of these tables, with the place's number as key."""
+def _set_places(some: range, bands: int):
+    """Each (node, group) once for each of these bands, with the band's key and the marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(b), -1)
-            for t in tables:
-                for k, (low, bits) in enumerate(_cuts(32, radius + 1)):
-                    value = (raw[:, t].astype(np.int64) >> low) & ((1 << bits) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array((value << 8) | (t * (radius + 1) + k)), *b.columns], ["key", "node", "grp", "fp"])
+            raw = b.column(2).to_pylist()
+            keys = np.frombuffer(b"".join(x[: 8 * bands] for x in raw), np.int64).reshape(len(b), bands)
+            marks = pa.array([x[8 * bands :] for x in raw], pa.binary())
+            for k in some:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].copy()), b.column(0), b.column(1), marks], ["key", "node", "grp", "marks"])
 
     return run
 
 
+def _ranges(first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for every j from ``first[i]`` to before ``end[i]``, some ``PAIRS`` at a time and one i at least."""
+    upto = np.concatenate([[0], np.cumsum(end - first)])
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        n = end[a:b] - first[a:b]
+        if n.any():
+            yield np.repeat(np.arange(a, b), n), np.arange(upto[a], upto[b]) - np.repeat(upto[a:b] - first[a:b], n)
+        a = b
+
+
+def _ends(*columns: np.ndarray) -> np.ndarray:
+    """For every row the end of the rows that have its values; equal rows come together."""
+    last = np.append(np.any([c[1:] != c[:-1] for c in columns], axis=0), True)
+    edge = np.flatnonzero(last) + 1
+    return edge[np.cumsum(last) - last]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Indices of the pairs that make a spanning forest; earlier pairs go first."""
     parent, at, out = np.arange(n), np.arange(len(a)), []
@@ -272,67 +313,69 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else at
 
 
-def _candidates(words: int, radius: int, most: int, every: bool):
-    """Pairs (a, b) of nodes of other groups that share a key and are near: all of them with ``every``.
+def _candidates(bands: int, width: int, most: int, every: bool):
+    """Pairs (a, b) of nodes of other groups that share a key and differ in ``most`` marks at most: all of
+    them with ``every``.
 
-    Else all pairs of a key that has few of them (``FEW`` for each row at most); of a crowded key the nearest
-    pairs that hold its nodes together, and a row (key, null): it has to be looked at again.
+    Else each set, in the order of the marks that follow the band's, is compared with the next ``NEXT`` of
+    its key: these are all in a key of few rows.  Of a key of more rows the nearest of these pairs that hold
+    its nodes together follow, and a row (key, null): it has to be looked at again.
     """
 
-    def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, count = np.unique(keys, return_counts=True)
         keep = np.repeat(count > 1, count)  # keys come sorted
-        keys, ids, fps = keys[keep], ids[keep], fps[keep]
-        place, cuts = keys & 255, _cuts(32, radius + 1)
-        for p in np.unique(place):
-            low, bits = cuts[p % (radius + 1)]
-            at = np.flatnonzero(place == p)
-            x, turn = fps[at].view(np.uint32)[:, p // (radius + 1)].astype(np.uint64), low + bits
-            code = ((x << np.uint64(32 - turn)) | (x >> np.uint64(turn))) & np.uint64(0xFFFFFFFF) if turn < 32 else x
-            order = np.argsort(grayindex.gray_rank(code), kind="stable")
-            at, code = at[order], code[order]
-            mine, node, group = fps[at], ids[at, 0], ids[at, 1]
-            key, of, rows = np.unique(keys[at], return_inverse=True, return_counts=True)
-            pairs, best = np.zeros(len(key), np.int64), np.zeros((3, 0), np.int64)
-            for i, j in grayindex.GrayIndex(code).pairs(radius, np.uint64(0xFFFFFFFF ^ ((1 << (32 - bits)) - 1))):
-                other = group[i] != group[j]
-                i, j = i[other], j[other]
-                for k in range(0, len(i), PAIRS):
-                    u, v = i[k : k + PAIRS], j[k : k + PAIRS]
-                    far = np.bitwise_count(mine[u] ^ mine[v]).sum(axis=1, dtype=np.int64)
-                    near = far <= most
-                    far, u, v = far[near], u[near], v[near]
-                    if not len(u):
-                        continue
-                    if not every:
-                        pairs += np.bincount(of[u], minlength=len(key))
-                        crowded = (pairs > FEW * rows)[of[u]]
-                        if crowded.any():
-                            best = np.concatenate([best, np.stack([far[crowded], u[crowded], v[crowded]])], axis=1)
-                            best = best[:, np.argsort(best[0], kind="stable")]
-                            best = best[:, np.sort(_forest(len(at), best[1], best[2]))]
-                            u, v = u[~crowded], v[~crowded]
-                    yield _pair_batch(node[u], node[v])
+        keys, ids, marks = keys[keep], ids[keep], marks[keep]
+        if not len(keys):
+            return
+        if every:
+            order = np.lexsort([ids[:, 1], keys])
+        else:
+            after = ((keys & 255) * width + width)[:, None] + np.arange(8)
+            order = np.lexsort([np.take_along_axis(marks, after % marks.shape[1], axis=1).view(np.uint64)[:, 0], keys])
+        keys, node, group, marks = keys[order], ids[order, 0], ids[order, 1], marks[order]
+        end, at = _ends(keys), np.arange(1, len(keys) + 1)
+        crowded = (end - np.searchsorted(keys, keys) > NEXT + 1) & (not every)
+        best, held, n = np.zeros((3, 0), np.int64), [], 0
+
+        def nearest() -> np.ndarray:
+            x = np.concatenate([best, *held], axis=1)
+            x = x[:, np.argsort(x[0], kind="stable")]
+            return x[:, np.sort(_forest(len(keys), x[1], x[2]))]
+
+        for i, j in _ranges(_ends(keys, group), end) if every else _ranges(at, np.minimum(at + NEXT, end)):
+            far = (marks[i] != marks[j]).sum(axis=1)
+            near = far <= most
+            far, i, j = far[near], i[near], j[near]
+            many = crowded[i]
+            if many.any():
+                held.append(np.stack([far[many], i[many], j[many]]))
+                n += held[-1].shape[1]
+                if n >= max(4 * PAIRS, best.shape[1]):
+                    best, held, n = nearest(), [], 0
+            if not many.all():
+                yield _pair_batch(node[i[~many]], node[j[~many]])
+        if crowded.any():
+            best = nearest()
             yield _pair_batch(node[best[1]], node[best[2]])
-            again = key[pairs > FEW * rows] if not every else key[:0]
-            if len(again):
-                yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64())], ["a", "b"])
+            again = np.unique(keys[crowded])
+            yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, fps = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, words), np.uint64)
+        keys, ids, marks = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, bands * width), np.uint8)
         more, n = [], 0
         for b in batches:
-            more.append((b.column(0).to_numpy(), np.column_stack([b.column(1).to_numpy(), b.column(2).to_numpy()]), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(b), words)))
+            more.append((b.column(0).to_numpy(), np.column_stack([b.column(1).to_numpy(), b.column(2).to_numpy()]), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(b), bands * width)))
             n += len(b)
             if n >= ROWS:
-                keys, ids, fps = (np.concatenate([x, *y]) for x, y in zip((keys, ids, fps), zip(*more)))
+                keys, ids, marks = (np.concatenate([x, *y]) for x, y in zip((keys, ids, marks), zip(*more)))
                 more, upto = [], int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-                yield from links(keys[:upto], ids[:upto], fps[:upto])
-                keys, ids, fps = keys[upto:], ids[upto:], fps[upto:]
+                yield from links(keys[:upto], ids[:upto], marks[:upto])
+                keys, ids, marks = keys[upto:], ids[upto:], marks[upto:]
                 n = len(keys) // 2 if len(keys) >= ROWS else len(keys)
         if more:
-            keys, ids, fps = (np.concatenate([x, *y]) for x, y in zip((keys, ids, fps), zip(*more)))
-        yield from links(keys, ids, fps)
+            keys, ids, marks = (np.concatenate([x, *y]) for x, y in zip((keys, ids, marks), zip(*more)))
+        yield from links(keys, ids, marks)
 
     return run
 
@@ -369,33 +412,35 @@ def _verified(ws: Workspace, docs: DataFrame, distinct: DataFrame, pairs: DataFr
     return out
 
 
-def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int = 3, most: int = 156, least: float = 0.8, name: str = "similar") -> DataFrame:
-    """(doc_id, fp, component_id): every row of ``docs`` with the smallest doc_id it is linked to.
+def similar_groups(docs: DataFrame, size: int = 5, bands: int = 24, width: int = 5, most: int = 44, least: float = 0.8, name: str = "similar") -> DataFrame:
+    """(doc_id, component_id): every row of ``docs`` with the smallest doc_id it is linked to.
 
     Two texts link if their sets of shingles of ``size`` words have a Jaccard similarity of ``least``
-    or more, counted exactly.  Pairs to count are those that differ in at most ``radius`` bits of one
-    of the ``2 * words`` tables of 32 bits and in at most ``most`` bits in all: with the defaults a
-    pair at 0.8 differs in 116 bits on average (deviation 10) and meets with probability 0.999.
-
-    A key with few candidate pairs has all of them counted; of a crowded one first the nearest pairs that
-    hold its nodes together, and then every pair whose ends are still in two groups: a large group of
-    near copies is one group by then, and only pairs that have to be told apart are left.
+    or more, counted exactly.  Pairs to count are those that agree in all ``width`` least hashes of one
+    of the ``bands`` (255 at most) and differ in at most ``most`` of all the hashes' marks: with the
+    defaults a pair at 0.8 differs in 24 marks of 120 on average (deviation 4.4) and is counted with
+    probability 0.9999, whatever the sets' sizes.  Sets with little in common share no key, so the time
+    for a set does not grow with the table.
+
+    A key of few sets has all its pairs counted; of a crowded one first the nearest pairs that hold its
+    nodes together, and then every pair whose ends are still in two groups: a large group of near copies
+    is one group by then, and only pairs that have to be told apart are left.
     Rows are treated as in :func:`near_groups`.
     """
     spark = docs.sparkSession
     tune(spark)
     ws = Workspace(spark, name)
-    rows = ws.save(_set_rows(docs, size, words), "rows")
-    distinct = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.min("fp").alias("fp")), "distinct")
-    group, links, again = distinct.select("node", F.col("node").alias("grp"), "fp"), None, None
+    rows = ws.save(_set_rows(docs, size, bands, width), "rows")
+    distinct = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.min("sketch").alias("sketch")), "distinct")
+    group, links, again = distinct.select("node", F.col("node").alias("grp"), "sketch"), None, None
     for step, every in (("near", False), ("all", True)):
         found = None
-        for k in range(0, 2 * words, TABLES):  # some tables at a time: their shuffle files go in between
-            placed = group.mapInArrow(_set_places(range(k, min(k + TABLES, 2 * words)), radius), "key long, node long, grp long, fp binary")
+        for k in range(0, bands, TOGETHER):  # some bands at a time: their shuffle files go in between
+            placed = group.mapInArrow(_set_places(range(k, min(k + TOGETHER, bands)), bands), "key long, node long, grp long, marks binary")
             if every:
                 placed = placed.join(again, "key", "left_semi")
             placed = placed.repartition("key").sortWithinPartitions("key")
-            some = ws.save(placed.mapInArrow(_candidates(words, radius, most, every), "a long, b long").distinct(), f"{step}-{k}")
+            some = ws.save(placed.mapInArrow(_candidates(bands, width, most, every), "a long, b long").distinct(), f"{step}-{k}")
             found = some if found is None else found.unionByName(some)
         if not every:
             again = ws.save(found.where("b is null").select(F.col("a").alias("key")), "again")
@@ -406,13 +451,13 @@ def similar_groups(docs: DataFrame, size: int = 5, words: int = 12, radius: int
         good = _verified(ws, docs, distinct, tried, size, least, step)
         links = good if links is None else links.unionByName(good)
         cc = ws.save(connected_components(ws, links, f"{step}-steps"), f"{step}-cc")
-        group = ws.save(distinct.join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "fp"), f"{step}-groups")
+        group = ws.save(distinct.join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "sketch"), f"{step}-groups")
         if again.isEmpty():
             break
     named = distinct.select("node", "low").join(group.select("node", "grp"), "node")
     least_id = named.groupBy("grp").agg(F.min("low").alias("component_id"))
     named = ws.save(named.join(least_id, "grp").select("node", "component_id"), "named")
-    return rows.join(named, "node").select("doc_id", "fp", "component_id")
+    return rows.join(named, "node").select("doc_id", "component_id")
 
 
 def simhash_documents(docs: DataFrame) -> DataFrame:
