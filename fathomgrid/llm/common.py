@@ -141,8 +141,7 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
     )
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = bytes(k in (9, 10, 11, 12, 13, 32) for k in range(256))
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -156,9 +155,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, 64-bit hash) of every word of a text, words parting at ASCII white space: eight bytes of all words at once."""
     space = np.ones(len(raw) + 2, bool)
-    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
-    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    length = end - start
+    space[1:-1] = np.frombuffer(raw.translate(_SPACE), bool)
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, length = edge[::2], edge[1::2] - edge[::2]
     eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
     h = mixed((eight[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     k, longer = 8, np.flatnonzero(length > 8)

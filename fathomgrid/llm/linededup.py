@@ -49,7 +49,7 @@ CHUNK = 1 << 22
 
 def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of every word."""
-    raw = "\n".join(lines).lower().encode("utf-8", "replace")
+    raw = "\n".join(map(str.lower, lines)).encode("utf-8", "replace")  # line by line: ASCII ones are quick
     start, h = word_hashes(raw)
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     return np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate([[0], np.searchsorted(start, breaks), [len(start)]]))), h
@@ -98,8 +98,7 @@ def _counts(similarity: float):
         total, entries = np.zeros(SLOTS, np.uint32), 0
         for b in batches:
             row, h = hashed_words(b.column(0).to_pylist())
-            at, n = np.unique(slot(h), return_counts=True)
-            total[at] += n.astype(np.uint32)
+            np.add.at(total, slot(h), np.uint32(1))
             entries += int(prefix_length(np.bincount(row), similarity).sum())
         parts = [k for k in range(SLOTS // SLICE) if total[k * SLICE : (k + 1) * SLICE].any()]
         data = [total[k * SLICE : (k + 1) * SLICE].tobytes() for k in parts]
@@ -310,18 +309,20 @@ def _verified(similarity: float):
 def exploded(docs: DataFrame) -> DataFrame:
     """(doc_id, line, text) of the lines that have a word."""
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.where(F.ltrim("text", F.lit(" \t\n\v\f\r")) != "")
 
 
 def _place(docs: DataFrame) -> tuple[F.Column, F.Column, F.Column]:
     """(place, doc_id, line): a line's place as one number, and what it says of the column ``place``.
 
     One number is combined in place before a shuffle.  It is a long if the range of ids and lines lets
-    it be, else a decimal.
+    it be, else a decimal.  Texts are read only if ids are so far apart that the lines' number matters.
     """
-    text = F.coalesce("text", F.lit(""))
-    lo, hi, most = docs.where("doc_id is not null").agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))).first()
-    bits = int(most or 0).bit_length()
+    known, bits = docs.where("doc_id is not null"), 31
+    lo, hi = known.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    if lo is not None and (hi - lo).bit_length() + bits > 62:
+        text = F.coalesce("text", F.lit(""))
+        bits = known.agg(F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))).first()[0].bit_length()
     if lo is None or (hi - lo).bit_length() + bits <= 62:
         lo = lo or 0
         place = F.shiftleft(F.col("doc_id") - F.lit(lo).cast("long"), bits) + F.col("line")
