@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Spans that one task of ``nested`` sorts on average; 8 times as many where that takes over ``SHARES`` tasks, up to which Spark
+#: deals rows out without sorting them.
+SPANS, SHARES = 1 << 18, 200
+
 
 def delta(seen: DataFrame, candidates: DataFrame) -> DataFrame:
     """(session, total, repeated, novelty, penalty) of candidates(session, item) against seen ones."""
@@ -66,6 +70,25 @@ def containment(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return inner.join(o, "file").where("olo <= lo and hi <= ohi").withColumn("k", F.row_number().over(w)).where("k = 1").select("file", "item", "owner")
 
 
+def nested(spans: DataFrame) -> DataFrame:
+    """(file, item, owner): the smallest span of another item around a span of each item of spans(file, item, hi).
+
+    All spans begin alike, so the longer of two holds the shorter: one walk from the longest down meets every owner, no pairs
+    are formed. A task's share is bounded whatever the table's size; for that the spans are counted at once.
+    """
+    n = spans.count()
+    tasks = max(min(n // SPANS + 1, SHARES), n // (8 * SPANS) + 1)
+    whole = spans.where("file is not null and item is not null and hi is not null").select("file", "item", "hi").repartition(tasks, "file")
+    down = Window.partitionBy("file").orderBy(F.desc("hi"), F.desc("item"))
+    after = F.lag("item").over(down)
+    walked = whole.withColumn("turn", F.when(after != F.col("item"), after))
+    walked = walked.withColumn("next", F.last("turn", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    equal = Window.partitionBy("file").orderBy(F.desc("hi")).rangeBetween(Window.unboundedPreceding, 0)
+    walked = walked.withColumn("least", F.min(F.struct("hi", "item")).over(equal)["item"])
+    owner = F.when(F.col("least") != F.col("item"), F.col("least")).otherwise(F.col("next"))
+    return walked.groupBy("file", "item").agg(F.min_by(owner, "hi").alias("owner")).where("owner is not null")
+
+
 def first_candidate(candidates: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The best-ranked candidate of each key: what import, call and target resolution end in."""
     return candidates.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("k = 1").drop("k")

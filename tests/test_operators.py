@@ -1,9 +1,13 @@
 """Operators on literal rows."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as tx
 from fathomgrid.operators import graph, retrieval, session
+from fathomgrid.plans import catalog
 from fathomgrid.sources import source_tree
 
 EDGES = "from_id string, to_id string, type string, confidence double"
@@ -44,6 +48,29 @@ def test_greedy_pack_skips_and_goes_on(spark):
     assert session.pack_greedy(c, 60, ["k"], "o", "o").first()[1:] == (2, 60)
 
 
+def test_nested_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPANS", 50)
+    r = random.Random(7)
+    spans = [(r.choice([None, *range(60)]), r.choice([None, 1, 2, 3, 4]), r.choice([None, float("nan"), -0.0, 0.0, 1.0, 2.0, 3.0])) for _ in range(500)]
+    whole = [(f, i, float("inf") if h != h else h) for f, i, h in spans if None not in (f, i, h)]  # NaN is above all numbers
+    want = {}
+    for f, i, h in whole:
+        want[f, i] = min([want.get((f, i), (float("inf"), 9)), *((b[2], b[1]) for b in whole if b[0] == f and b[1] != i and b[2] >= h)])
+    want = sorted((f, i, owner) for (f, i), (_, owner) in want.items() if owner < 9)
+    got = session.nested(spark.createDataFrame(spans, "file long, item int, hi double"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
+def test_containment_join_sorts_bounded_shares_once_and_forms_no_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "SPANS", 10_000, raising=False)
+    spark.range(30_000).selectExpr("1L as l_orderkey", "cast(id as int) as l_linenumber", "cast(id as double) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.containment_join(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+    assert re.search(r"hashpartitioning\(file#\d+L, 4\)", plan)
+    assert got.where("owner = item + 1").count() == got.count() == 29_999  # the longest has no owner
+
+
 def test_source_tree(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.ts").write_text("import { b } from './b.js';\nexport class A {}\nexport function run() {}\n")
